@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from folioscope.llm.html_crf import op10_html_crf
 from folioscope.llm.mixing import op9_mix_pivotal
+from folioscope.llm.packing import op6_pack_binary
+from folioscope.llm.quality_cnn import op2_quality_cnn
 from folioscope.llm.quality_rules import OP5_SQL, op5_line_rules
+from folioscope.llm.warc import op3_warc_zip
 
 QUERIES = {
+    "op2_quality_cnn": op2_quality_cnn,
+    "op3_warc_zip": op3_warc_zip,
     "op5_line_rules": op5_line_rules,
+    "op6_pack_binary": op6_pack_binary,
     "op9_mix_pivotal": op9_mix_pivotal,
+    "op10_html_crf": op10_html_crf,
 }
 ORACLES = {"op5_line_rules": OP5_SQL}
