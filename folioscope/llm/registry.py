@@ -8,8 +8,10 @@ from folioscope.llm.packing import op6_pack_binary
 from folioscope.llm.quality_cnn import op2_quality_cnn
 from folioscope.llm.quality_rules import OP5_SQL, op5_line_rules
 from folioscope.llm.warc import op3_warc_zip
+from folioscope.llm.window_dedup import op1_window_dedup
 
 QUERIES = {
+    "op1_window_dedup": op1_window_dedup,
     "op2_quality_cnn": op2_quality_cnn,
     "op3_warc_zip": op3_warc_zip,
     "op5_line_rules": op5_line_rules,
