@@ -8,6 +8,7 @@ from folioscope.llm.packing import op6_pack_binary
 from folioscope.llm.quality_cnn import op2_quality_cnn
 from folioscope.llm.quality_rules import OP5_SQL, op5_line_rules
 from folioscope.llm.simhash import op8_simhash_pigeonring
+from folioscope.llm.suffix_dedup import op7_suffix_dedup
 from folioscope.llm.warc import op3_warc_zip
 from folioscope.llm.window_dedup import op1_window_dedup
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_warc_zip": op3_warc_zip,
     "op5_line_rules": op5_line_rules,
     "op6_pack_binary": op6_pack_binary,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_mix_pivotal": op9_mix_pivotal,
     "op10_html_crf": op10_html_crf,
