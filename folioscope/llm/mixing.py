@@ -43,7 +43,7 @@ def add_sizes(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.xxhash64(F.col("text")), F.lit(0)).alias("tie"),
+        F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("tie"),
         F.col("text").cast("string").alias("text"),
     )
 
@@ -157,16 +157,16 @@ def mix_units(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as it is taken."""
-    units = mix_units(docs, **options).filter("copies > 0").select(
-        F.col("doc_id").alias("u_id"), F.col("tie").alias("u_tie"), F.col("source").alias("u_source"), "copies"
-    )
-    keyed = docs.withColumn("_tie", F.coalesce(F.xxhash64(F.col("text")), F.lit(0)))
+    units = mix_units(docs, **options).filter("copies > 0")
+    units = units.select(*(F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "tie", "source", "copies")))
+    keyed = docs.withColumn("_mix_hash", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
     same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("u_id"))
-        & (F.col("_tie") == F.col("u_tie"))
-        & F.col("source").cast("string").eqNullSafe(F.col("u_source"))
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc_id"))
+        & (F.col("_mix_hash") == F.col("_mix_tie"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
     )
-    return keyed.join(units, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
+    return keyed.join(units, same).withColumn("_mix_copy", copies).select(*(keyed[c] for c in docs.columns))
 
 
 def op9_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,15 +171,16 @@ def score_rows(p: Params | None, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-forward(p, *blocks_of(data, offsets)).astype(np.float64)))
 
 
-def score(docs: DataFrame, params: Params | None) -> DataFrame:
-    """docs with a column ``quality_score``."""
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+def score(docs: DataFrame, params: Params | None, name: str = "quality_score") -> DataFrame:
+    """docs with the score in a last column ``name``; a column that has the name already gives way."""
+    docs = docs.drop(name)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 scores = pa.array(score_rows(params, part.column("text")), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], schema=part.schema.append(pa.field("quality_score", pa.float64())))
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], schema=part.schema.append(pa.field(name, pa.float64())))
 
     return docs.mapInArrow(run, schema)
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folioscope.llm.common import NULL_ID, PolyHash, byte_rows, drop_materialized, materialize, mix64, slices
 from folioscope.llm.windows import (
@@ -251,6 +252,38 @@ def remove_windows(docs: DataFrame, removed: DataFrame, width: int = WIDTH, with
     return with_lists(keyed(docs), removed, ["first", "count"]).mapInArrow(run, SCHEMA)
 
 
+def cut_documents(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """docs with the removed bytes taken out of the text, and n_chars, if there is one, counted anew.
+
+    A null text stays null; a character that was cut in two goes as a whole.
+    """
+    others = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")
+    rows = with_lists(keyed(docs, others), removed_windows(docs, width, gram), ["first", "count"])
+    schema = StructType([rows.schema["row"], StructField("left", StringType())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = byte_rows(part.column("text"))
+                item_offsets, (first, count) = list_arrays(part.column("items"), 2)
+                keep = ~covered(offsets, item_offsets, first, count, width)
+                null = part.column("text").is_null().to_pylist()
+                spans = zip(offsets[:-1], offsets[1:], null, strict=True)
+                left = [None if n else data[a:b][keep[a:b]].tobytes().decode("utf-8", "ignore") for a, b, n in spans]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.string())], ["row", "left"])
+
+    done = rows.mapInArrow(run, schema)
+    columns = []
+    for field in docs.schema.fields:
+        value = F.col("row").getField(field.name)
+        if field.name == "text":
+            value = F.col("left").cast(field.dataType)
+        elif field.name == "n_chars":
+            value = F.coalesce(F.char_length("left").cast(field.dataType), value)
+        columns.append(value.alias(field.name))
+    return done.select(*columns)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that a repeated 200-byte string covers, removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
