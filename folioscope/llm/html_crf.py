@@ -140,6 +140,13 @@ def leaf_blocks(page: str) -> list[Block]:
 # ---------------------------------------------------------------- features
 
 
+#: Names that page parts beside the main text usually bear (fixed values).
+BESIDE = re.compile(
+    r"(?:ads?|advert.*|sponsor.*|promo.*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|comments?|discussion|responses?|repl(?:y|ies)"
+    r"|sidebar|widget|related|share|social|nav.*|menu|breadcrumbs?|pagination|pager|footer|masthead|newsletter|subscribe|signup|login|search|byline)\Z"
+)
+
+
 @lru_cache(maxsize=20_000)
 def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
     """Tags of all ancestors, their class and id tokens, and the innermost two tags."""
@@ -149,6 +156,8 @@ def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
         found["in:" + tag] = None
         for token in tokens:
             found["named:" + token] = None
+            if BESIDE.match(token):
+                found["beside"] = None
     tags = [n.split(".")[0] for n in path]
     found["leaf:" + "/".join(tags[-2:])] = None
     return tuple(found)
@@ -184,7 +193,7 @@ MARK = "\ue000"
 _MARKED = re.compile("\ue000(\\d)\ue000")
 
 
-def labelled_pages(count: int = 260, seed: int = 11) -> list[list[tuple[Block, int]]]:
+def labelled_pages(count: int = 450, seed: int = 11) -> list[list[tuple[Block, int]]]:
     """Pages drawn from a grammar of layouts, as leaf blocks with the label 1 for main text."""
     rng = np.random.default_rng(seed)
 
@@ -203,6 +212,17 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[list[tuple[Block, i
     def mark(text: str, label: int) -> str:
         return f"{MARK}{label}{MARK}{text}"
 
+    def inner(low: int, high: int, label: int = 0) -> str:
+        """A few words, bare or in one of the elements that hold text."""
+        text = mark(words(low, high, chance(0.6)), label)
+        return pick("{}", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<span>{}</span>", "<h3>{}</h3>", "<ul><li>{}</li></ul>").format(text)
+
+    def wrapped(page: str) -> str:
+        """Inside containers whose names tell nothing."""
+        for _ in range(int(rng.integers(0, 3))):
+            page = f"<div{pick('', ' class=container', ' class=wrapper', ' class=row', ' id=page', ' class=inner', ' class=col')}>{page}</div>"
+        return page
+
     def links(n: int, label: int = 0) -> str:
         return "<ul>" + "".join(f"<li><a href='/x'>{mark(words(1, 3, False), label)}</a></li>" for _ in range(n)) + "</ul>"
 
@@ -212,28 +232,28 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[list[tuple[Block, i
             body += f" <a href='/y'>{words(1, 4, False)}</a> {words(2, 9)}"
         if chance(0.2):
             body = f"<b>{mark(words(2, 9, chance(0.5)), label)}<br>" + ("<p>" + body if chance(0.7) else body)
-        return f"<p>{body}</p>"
+        return f"<p>{body}</p>" if chance(0.9) else f"<div>{body}</div>"
 
     def noise(kind: str) -> str:
         if kind == "ad":
-            return f"<{pick('div', 'section', 'aside')} class='{pick('ad', 'ads', 'advert', 'advertisement', 'banner', 'sponsored', 'promo', 'ad-slot')}'>{mark(words(3, 25), 0)}</div>"
+            return f"<{pick('div', 'section', 'aside')} class='{pick('ad', 'ads', 'advert', 'advertisement', 'banner', 'sponsored', 'promo', 'ad-slot')}'>{inner(3, 25)}</div>"
         if kind == "notice":
-            return f"<div {pick('class', 'id')}='{pick('cookie', 'cookie-notice', 'notice', 'alert', 'consent', 'gdpr-banner', 'popup', 'modal')}'><p>{mark(words(6, 30), 0)}</p><button>{mark(words(1, 2, False), 0)}</button></div>"
+            return f"<div {pick('class', 'id')}='{pick('cookie', 'cookie-notice', 'notice', 'alert', 'consent', 'gdpr-banner', 'popup', 'modal')}'>{inner(4, 30)}{f"<button>{mark(words(1, 2, False), 0)}</button>" if chance(0.5) else ""}</div>"
         if kind == "form":
             return f"<form class='{pick('newsletter', 'subscribe', 'search', 'signup', 'login')}'><p>{mark(words(3, 15), 0)}</p><label>{words(1, 3, False)}</label><input><button>{mark(words(1, 2, False), 0)}</button></form>"
         if kind == "side":
             tag = pick("<aside>", "<div class='sidebar'>", "<aside class='related'>", "<div class='widget'>", "<div id='sidebar'>", "<section class='related-posts'>")
-            return tag + f"<h3>{mark(words(1, 3, False), 0)}</h3>" + (links(int(rng.integers(2, 6))) if chance(0.6) else f"<p>{mark(words(5, 30), 0)}</p>") + ("</aside>" if "aside" in tag else "</div>")
+            return tag + f"<h3>{mark(words(1, 3, False), 0)}</h3>" + (links(int(rng.integers(2, 6))) if chance(0.6) else inner(2, 30)) + ("</aside>" if "aside" in tag else "</div>")
         if kind == "comments":
-            each = "".join(f"<{pick('li', 'div', 'article')} class='comment'><p>{mark(words(3, 40), 0)}</p></div>" for _ in range(int(rng.integers(1, 5))))
-            return f"<{pick('section', 'div')} {pick('id', 'class')}='{pick('comments', 'comment-list', 'discussion', 'responses', 'reader-comments')}'><h3>{mark(words(1, 3, False), 0)}</h3>{each}</section>"
+            each = "".join(f"<{pick('li', 'div', 'article')}{pick('', ' class=comment', ' class=reply')}>{inner(1, 40)}</div>" for _ in range(int(rng.integers(1, 5))))
+            return f"<{pick('section', 'div')} {pick('id', 'class')}='{pick('comments', 'comment-list', 'discussion', 'responses', 'reader-comments')}'>{f"<h3>{mark(words(1, 3, False), 0)}</h3>" if chance(0.5) else ""}{each}</section></div>"
         if kind == "share":
-            return f"<div class='{pick('share', 'social', 'tags', 'meta', 'byline', 'breadcrumb', 'pagination')}'>{links(3) if chance(0.5) else mark(words(1, 6, False), 0)}</div>"
+            return f"<div class='{pick('share', 'social', 'tags', 'meta', 'byline', 'breadcrumb', 'pagination')}'>{links(3) if chance(0.5) else inner(1, 6)}</div>"
         if kind == "nav":
             return f"<{pick('nav', 'nav class=menu', 'div class=menu', 'div id=navigation', 'ul class=nav')}>{links(int(rng.integers(3, 9)))}</nav></div></ul>"
         if kind == "footer":
             return f"<{pick('footer', 'footer', 'div class=footer', 'div id=footer')}>{mark(pick('&copy; ', '') + words(3, 25), 0)}{links(3) if chance(0.3) else ''}</footer></div>"
-        return f"<{pick('header', 'div class=header', 'div id=masthead')}>{mark(words(1, 6, chance(0.5)), 0)}</header></div>"
+        return f"<{pick('header', 'div class=header', 'div id=masthead')}>{inner(1, 8)}</header></div>"
 
     pages = []
     for _ in range(count):
@@ -244,13 +264,13 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[list[tuple[Block, i
             main.append(paragraph(1))
             if chance(0.06):
                 main.append(pick(f"<h2>{mark(words(1, 6, False), 1)}</h2>", f"<blockquote>{mark(words(5, 30), 1)}</blockquote>", f"<ul><li>{mark(words(2, 20), 1)}</li><li>{mark(words(2, 20), 1)}</li></ul>", f"<pre>{mark(words(3, 12, False), 1)}</pre>", f"<table><tr><td>{mark(words(1, 4, False), 1)}</td><td>{mark(words(1, 4, False), 1)}</td></tr></table>", f"<figure><figcaption>{mark(words(3, 12), 1)}</figcaption></figure>"))
-            if chance(0.08):
-                main.append(noise(pick("ad", "form", "side", "share", "notice", "comments")))
-        body += [opening, *main, ending]
+            if chance(0.2):
+                main.append(noise(pick("ad", "ad", "form", "side", "share", "notice", "comments")))
+        body += [opening + wrapped("".join(main)) + ending]
         body += [noise(k) for k in ("share", "side", "comments", "form", "ad", "nav") if chance(0.3)]
         body += [noise("footer")] if chance(0.85) else []
         labelled = []
-        for block in leaf_blocks("<html><body>" + "".join(body) + ("</body></html>" if chance(0.8) else "")):
+        for block in leaf_blocks("<html><body>" + wrapped("".join(body)) + ("</body></html>" if chance(0.8) else "")):
             found = _MARKED.search(block.text)
             label = int(found[1]) if found else 0
             block.text = _MARKED.sub("", block.text)
@@ -266,7 +286,7 @@ def labelled_pages(count: int = 260, seed: int = 11) -> list[list[tuple[Block, i
 Model = tuple[dict[str, tuple[float, float]], np.ndarray]
 
 
-def train(pages: list[list[tuple[Block, int]]], epochs: int = 20, penalty: float = 2e-3, seed: int = 3) -> Model:
+def train(pages: list[list[tuple[Block, int]]], epochs: int = 20, penalty: float = 2e-4, seed: int = 3) -> Model:
     """Maximum likelihood by Adam; the gradient comes from forward and backward passes over each page."""
     index: dict[str, int] = {}
     coded = []
