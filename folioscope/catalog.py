@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from folioscope.plans import text  # noqa: F401  (registers its queries)
+from folioscope.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
