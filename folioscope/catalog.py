@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import text  # noqa: F401  (registers its queries)
+from folioscope.plans import search, text  # noqa: F401  (they register their queries)
 from folioscope.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
