@@ -154,7 +154,7 @@ def table_suggest(spark, d):
 # ------------------------------------------------------------------ G: answers of literal grids
 SHAPES = Rows("id int, rows array<array<string>>, cleaned string, dense string, unrolled string, name_col int, pairs string", [
     (1, [["Score", "Mod", "Score", "Mod"], ["1", "-5", "10", "0"]], "Score|Mod|Score|Mod/1|-5|10|0", "Score|Mod|Score|Mod/1|-5|10|0", "Score|Mod/1|-5/10|0", 0, ""),
-    (2, [[" a ", ""], ["", ""], ["b"]], "a|/b", " a /b", " a |/|/b", 0, ""),
+    (2, [[" a ", ""], ["", ""], ["b"]], "a|/b", " a //b", " a |/|/b", 0, ""),
     (3, [["D10", "Name"], ["1", "Rope"], ["2", "M16"]], "D10|Name/1|Rope/2|M16", "D10|Name/1|Rope/2|M16", "D10|Name/1|Rope/2|M16", 1, ""),
     (4, [["TYPE", "AMMO"], ["Gun", "9mm"], ["BLAST", "MAG"], ["-", "10"]], "TYPE|AMMO/Gun|9mm/BLAST|MAG/-|10", "TYPE|AMMO/Gun|9mm/BLAST|MAG/-|10", "TYPE|AMMO/Gun|9mm/BLAST|MAG/-|10", 0, "TYPE=Gun;AMMO=9mm;BLAST=-;MAG=10"),
 ])
