@@ -251,7 +251,8 @@ def brute_search(rows, k, terms, min_df):
     for q, c in counts:
         if q is None or q % 20:
             continue
-        asked = sorted((t for t in c if df[t] >= min_df), key=lambda t: (-c[t] * idf[t], hashed(t)))[:terms]
+        own = {t: round(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)), 9) for t in c}
+        asked = sorted((t for t in c if df[t] >= min_df), key=lambda t: (-own[t], hashed(t)))[:terms]
         found = []
         for (d, _), x in distinct:
             score = sum(idf[t] * x[t] * 2.2 / (x[t] + 1.2 * (0.25 + 0.75 * sum(x.values()) / mean)) for t in asked if x[t])
