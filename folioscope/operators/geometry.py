@@ -52,6 +52,7 @@ def _page_grids(cells: pd.DataFrame, words: pd.DataFrame) -> list[tuple]:
             ys = _snapped({round(v) for v in [*own["y0"], *own["y1"]]}, ROW_SNAP)
             if len(xs) < 3 or len(ys) < 2:
                 continue
+            ys = trailing_edges(xs, ys, words)
             x, y = (words["x0"] + words["x1"]) / 2, (words["y0"] + words["y1"]) / 2
             col = pd.cut(x, xs, labels=False, right=False)
             row = pd.cut(y, ys, labels=False, right=False)
@@ -68,7 +69,7 @@ def _page_grids(cells: pd.DataFrame, words: pd.DataFrame) -> list[tuple]:
 def grids(cells: DataFrame, words: DataFrame) -> DataFrame:
     """doc, page, table_no, box and rows of the ruled tables of all pages; a page at a time."""
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = sorted(_page_grids(left, right), key=lambda g: (g[1], g[0])) if len(left) else []
         return pd.DataFrame([(key[0], key[1], i + 1, *map(float, g[:4]), g[4]) for i, g in enumerate(found)], columns=["doc", "page", "table_no", "x0", "y0", "x1", "y1", "rows"])
 
@@ -195,3 +196,117 @@ def strip_bleed(column: Column) -> Column:
 
     suspects = F.regexp_count(column, F.lit(BLEED)) >= BLEED_RUN
     return F.when(suspects, strip(column)).otherwise(column)
+
+
+# ---------------------------------------------------------------- layouts without ruling lines
+
+MOST_ROWS, START_SLACK, BAND_SNAP = 24, 6.0, 4.0
+ROWS = "doc string, page int, rows array<array<string>>"
+
+
+def trailing_edges(xs: list[float], ys: list[float], words: pd.DataFrame) -> list[float]:
+    """Row edges with the rows that follow below the last line, while each is a clean row of the columns.
+
+    A row reaches one median pitch down; it must fill the first column and one
+    more, and no word may lie across a column edge.
+    """
+    pitch = sorted(b - a for a, b in zip(ys, ys[1:], strict=False))[(len(ys) - 1) // 2]
+    out = list(ys)
+    for _ in range(MOST_ROWS):
+        middle = (words["y0"] + words["y1"]) / 2
+        row = words[(middle > out[-1]) & (middle <= out[-1] + pitch) & (words["x1"] > xs[0]) & (words["x0"] < xs[-1])]
+        crossing = any(((row["x0"] < edge - 1) & (row["x1"] > edge + 1)).any() for edge in xs[1:-1])
+        columns = set(pd.cut((row["x0"] + row["x1"]) / 2, xs, labels=False, right=False).dropna())
+        if crossing or 0 not in columns or len(columns) < 2:
+            break
+        out.append(out[-1] + pitch)
+    return out
+
+
+def bands_of(words: pd.DataFrame, tolerance: float = BAND_SNAP) -> pd.Series:
+    """Number of the text band of each word: a new band once a word is lower than the band's first by more than the tolerance."""
+    tops = _snapped(words["y0"], tolerance)
+    return words["y0"].map(lambda y: max(i for i, top in enumerate(tops) if top <= y))
+
+
+def column_starts(words: pd.DataFrame) -> list[float]:
+    """Left edges at which words of at least two bands, and of half of all, begin."""
+    band = bands_of(words)
+    starts = _snapped(words["x0"], START_SLACK)
+    at = words["x0"].map(lambda x: max(s for s in starts if s <= x))
+    seen = band.groupby(at).nunique()
+    return sorted(seen[seen >= max(2, band.nunique() / 2)].index)
+
+
+def grid_of(words: pd.DataFrame, row: pd.Series, starts: list[float]) -> list[list[str]]:
+    """Cells of words by row number and the rightmost start that is not right of them."""
+    if not starts or words.empty:
+        return []
+    col = words["x0"].map(lambda x: max((i for i, s in enumerate(starts) if s <= x + START_SLACK), default=0))
+    ordered = words.assign(r=row, c=col).sort_values(["r", "y0", "x0"])
+    texts = ordered.groupby(["r", "c"])["text"].agg(" ".join)
+    return [[texts.get((r, c), "") for c in range(len(starts))] for r in sorted(ordered["r"].unique())]
+
+
+def _fragmentation(rows: list[list[str]]) -> float:
+    cells = [c for r in rows for c in r]
+    return sum(not c for c in cells) / len(cells) if cells else 1.0
+
+
+def _per_page(left: DataFrame, words: DataFrame, build) -> DataFrame:
+    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = build(a, b) if len(b) else []
+        return pd.DataFrame([(key[0], key[1], rows) for rows in found if rows], columns=["doc", "page", "rows"])
+
+    return left.groupBy("doc", "page").cogroup(unique_words(words).groupBy("doc", "page")).applyInPandas(run, ROWS)
+
+
+def unruled_grids(words: DataFrame) -> DataFrame:
+    """doc, page, rows of pages whose words stand in columns: bands are rows, recurring starts are columns."""
+
+    def run(key: tuple, w: pd.DataFrame) -> pd.DataFrame:
+        rows = grid_of(w, bands_of(w), column_starts(w))
+        return pd.DataFrame([(key[0], key[1], rows)] if rows else [], columns=["doc", "page", "rows"])
+
+    return unique_words(words).groupBy("doc", "page").applyInPandas(run, ROWS)
+
+
+def shaded_grids(shades: DataFrame, words: DataFrame) -> DataFrame:
+    """doc, page, rows of tables known by shaded bands (doc, page, x0, y0, x1, y1).
+
+    Shades that are not far apart form a region. Its rows are once the shades
+    and the gaps between them, once the text bands; the less broken grid stays.
+    """
+
+    def build(shade: pd.DataFrame, w: pd.DataFrame) -> list:
+        shade = shade.sort_values("y0")
+        gap = 2 * (shade["y1"] - shade["y0"]).median() if len(shade) else 0
+        out = []
+        for _, region in shade.groupby((shade["y0"] - shade["y1"].shift() > gap).cumsum()):
+            x0, x1, y0, y1 = region["x0"].min(), region["x1"].max(), region["y0"].min(), region["y1"].max()
+            inside = w[(w["x0"] >= x0 - 2) & (w["x1"] <= x1 + 2) & ((w["y0"] + w["y1"]) / 2).between(y0, y1)]
+            if inside.empty:
+                continue
+            starts = column_starts(inside)
+            edges = sorted({*region["y0"], *region["y1"]})
+            by_shade = pd.cut((inside["y0"] + inside["y1"]) / 2, edges, labels=False, right=False, include_lowest=True).fillna(len(edges))
+            out.append(min((grid_of(inside, by_shade, starts), grid_of(inside, bands_of(inside), starts)), key=_fragmentation))
+        return out
+
+    return _per_page(shades, words, build)
+
+
+def spans_to_boxes(spans: DataFrame, page_width: float = 600.0) -> DataFrame:
+    """doc, page, col, text: two-column pages written as Markdown with a heading for every box.
+
+    A heading is a bold span in capitals that ends in a kind and a number; its
+    column is its half of the page, its body the spans below it in that column
+    up to the next heading.
+    """
+    s = spans.select("doc", "page", T.trim_all(F.col("text")).alias("text"), "bold", "x0", "y0", (F.col("x0") >= page_width / 2).cast("int").alias("col")).filter("text <> ''")
+    heading = F.col("bold") & F.col("text").rlike(r"^[A-Z][A-Z’' \-]* [A-Z]{3,} \d+$")
+    until = Window.partitionBy("doc", "page", "col").orderBy("y0", "x0")
+    s = s.withColumn("head", heading).withColumn("box", F.sum(heading.cast("int")).over(until)).filter("box > 0")
+    line = F.when(F.col("head"), F.concat(F.lit("##### **"), "text", F.lit("**"))).when(F.col("bold"), F.concat(F.lit("**"), "text", F.lit("**"))).otherwise(F.col("text"))
+    boxes = s.groupBy("doc", "page", "col", "box").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", line.alias("l")))).alias("p"))
+    return boxes.select("doc", "page", "col", "box", F.array_join(F.transform("p", lambda x: x["l"]), "\n").alias("text"))

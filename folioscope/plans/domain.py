@@ -215,9 +215,18 @@ def fit_widths(spark, d):
     return rows.select("p_brand", F.array_max(fits).cast("long").alias("cap"))
 
 
-@query("V2_render_rows", "SELECT p_partkey, rpad(p_name, 16, ' ') || '| ' || lpad(CAST(p_size AS VARCHAR), 3, ' ') AS line FROM part")
-def render_rows(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.concat(F.rpad("p_name", 16, " "), F.lit("| "), F.lpad(F.col("p_size").cast("string"), 3, " ")).alias("line"))
+RENDERED = Rows("id int, rows array<array<string>>, want string", [
+    (1, [["D6", "Result"], ["1", "Fall"], ["2", "Stand"]], "D6 | Result\n---+-------\n1  | Fall\n2  | Stand"),
+    (2, [["Name", "Cost", "A long description column"], ["Rope", "5", "twenty metres of rather good hemp rope"]], "Name: Rope\nCost: 5\nA long description column: twenty metres of rather good hemp rope"),
+    (3, [["Only header"]], "Only header\n-----------"),
+])
+
+
+@query("V2_render_table", f"SELECT id, want AS text FROM {RENDERED.sql}")
+def render_table(spark, d):
+    from folioscope.operators.render import render
+
+    return RENDERED.df(spark).select("id", render(F.col("rows")).alias("text"))
 
 
 @query("V3_stat_card", "SELECT p_partkey, 'Name: ' || p_name || chr(10) || 'Brand: ' || p_brand || chr(10) || 'Size: ' || p_size AS card FROM part")

@@ -57,3 +57,50 @@ BLED = Rows("id int, s string", [(1, "Make many Savage Critical 18 Shatter Defen
 @query("H14_sidebar_bleed", "SELECT * FROM (VALUES (1, 'Make many attack now.'), (2, 'Add Five 5 feet.'), (3, '')) v(id, out)")
 def sidebar_bleed(spark, d):
     return BLED.df(spark).select("id", Z.strip_bleed(F.col("s")).alias("out"))
+
+
+def _words(rows):
+    return [("a", 1, x, y, x + 20, y + 8, t) for y, line in rows for x, t in line]
+
+
+TRAILING = Rows(BOX + ", text string", [*WORDS.rows, *_words([(138.0, ((14.0, "Wire"), (64.0, "9"))), (300.0, ((14.0, "far"), (64.0, "below")))])])
+
+
+@query("Z2_trailing_rows", "SELECT * FROM (VALUES ('a', 1, 1, 'Name|Cost/Rope|5/Lamp|7/Wire|9'), ('a', 1, 2, 'Die|Result/1|Fall')) v(doc, page, table_no, grid)")
+def trailing_rows(spark, d):
+    return Z.grids(CELLS.df(spark), TRAILING.df(spark)).select("doc", "page", "table_no", G.text_of(F.col("rows")).alias("grid"))
+
+
+LOOSE = Rows(BOX + ", text string", _words([(10.0, ((10.0, "Roll"), (80.0, "Event"))), (22.0, ((10.0, "1"), (80.0, "Rain"), (104.0, "falls"))), (34.0, ((10.0, "2"), (81.0, "Sun")))]))
+
+
+@query("Z8_column_starts", "SELECT * FROM (VALUES ('a', 1, 'Roll|Event/1|Rain falls/2|Sun')) v(doc, page, grid)")
+def column_starts(spark, d):
+    return Z.unruled_grids(LOOSE.df(spark)).select("doc", "page", G.text_of(F.col("rows")).alias("grid"))
+
+
+SHADES = Rows(BOX, [("a", 1, 5.0, y, 130.0, y + 11.0) for y in (8.0, 32.0)])
+
+
+@query("Z4_shaded_grids", "SELECT * FROM (VALUES ('a', 1, 'Roll|Event/1|Rain falls/2|Sun')) v(doc, page, grid)")
+def shaded_grids(spark, d):
+    return Z.shaded_grids(SHADES.df(spark), LOOSE.df(spark)).select("doc", "page", G.text_of(F.col("rows")).alias("grid"))
+
+
+PAIRED = Rows(BOX + ", text string", _words([(10.0, ((10.0, "Score"), (60.0, "Mod"), (110.0, "Score"), (160.0, "Mod"))), (22.0, ((10.0, "1"), (60.0, "-5"), (110.0, "10"), (160.0, "0")))]))
+
+
+@query("Z5_side_by_side", "SELECT * FROM (VALUES ('a', 1, 'Score|Mod/1|-5/10|0')) v(doc, page, grid)")
+def side_by_side(spark, d):
+    return Z.unruled_grids(PAIRED.df(spark)).select("doc", "page", G.text_of(G.unroll_repeats(F.col("rows"))).alias("grid"))
+
+
+BOXED = Rows(BOX + ", text string, size double, bold boolean, color int", [
+    ("a", 1, 20.0, 50.0, 90.0, 60.0, "GLOW SPELL 1", 10.0, True, 0), ("a", 1, 20.0, 62.0, 90.0, 70.0, "Range", 9.0, True, 0), ("a", 1, 20.0, 74.0, 90.0, 82.0, "A light fills the area.", 9.0, False, 0),
+    ("a", 1, 320.0, 40.0, 390.0, 50.0, "tail of the page before", 9.0, False, 0), ("a", 1, 320.0, 55.0, 390.0, 65.0, "SWIFT FEAT 2", 10.0, True, 0), ("a", 1, 320.0, 70.0, 390.0, 80.0, "You move.", 9.0, False, 0),
+])
+
+
+@query("Z12_boxes_from_spans", "SELECT * FROM (VALUES ('a', 1, 0, 1, '##### **GLOW SPELL 1**' || chr(10) || '**Range**' || chr(10) || 'A light fills the area.'), ('a', 1, 1, 1, '##### **SWIFT FEAT 2**' || chr(10) || 'You move.')) v(doc, page, col, box, text)")
+def boxes_from_spans(spark, d):
+    return Z.spans_to_boxes(BOXED.df(spark)).withColumn("box", F.col("box").cast("int"))
