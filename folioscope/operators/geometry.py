@@ -310,3 +310,40 @@ def spans_to_boxes(spans: DataFrame, page_width: float = 600.0) -> DataFrame:
     line = F.when(F.col("head"), F.concat(F.lit("##### **"), "text", F.lit("**"))).when(F.col("bold"), F.concat(F.lit("**"), "text", F.lit("**"))).otherwise(F.col("text"))
     boxes = s.groupBy("doc", "page", "col", "box").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", line.alias("l")))).alias("p"))
     return boxes.select("doc", "page", "col", "box", F.array_join(F.transform("p", lambda x: x["l"]), "\n").alias("text"))
+
+
+def header_anchored_grids(words: DataFrame, label: str = "CAREER") -> DataFrame:
+    """doc, page, rows of cards whose columns hang on a header band that begins with ``label``.
+
+    Every header word starts a column; words below go to the rightmost start that
+    is not right of them, so a card without ruling lines keeps its columns.
+    """
+
+    def run(key: tuple, w: pd.DataFrame) -> pd.DataFrame:
+        band = bands_of(w)
+        heads = w[w["text"].str.upper() == label]
+        if heads.empty:
+            return pd.DataFrame([], columns=["doc", "page", "rows"])
+        top = band[heads["y0"].idxmin()]
+        starts = sorted(w[band == top]["x0"])
+        below = w[band >= top]
+        rows = grid_of(below, band[band >= top], starts)
+        return pd.DataFrame([(key[0], key[1], rows)] if len(rows) >= 2 else [], columns=["doc", "page", "rows"])
+
+    return unique_words(words).groupBy("doc", "page").applyInPandas(run, ROWS)
+
+
+def spread_sections(spans: DataFrame, page_width: float = 600.0, least: float = 12.0) -> DataFrame:
+    """doc, page, label, text: the parts of a career spread below their headings, each in its column of the page.
+
+    Headings are spans of at least ``least`` points; their titles become the
+    labels of career cards.
+    """
+    s = spans.select("doc", "page", T.trim_all(F.col("text")).alias("text"), "size", "x0", "y0", (F.col("x0") >= page_width / 2).cast("int").alias("col")).filter("text <> ''")
+    until = Window.partitionBy("doc", "page", "col").orderBy("y0", "x0")
+    head = F.col("size") >= least
+    s = s.withColumn("head", head).withColumn("part", F.sum(head.cast("int")).over(until)).filter("part > 0")
+    parts = s.groupBy("doc", "page", "col", "part").agg(
+        F.max(F.when(F.col("head"), F.col("text"))).alias("title"), F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("y0", "x0", "text")))).alias("lines")
+    )
+    return parts.select("doc", "page", T.career_label(F.col("title")).alias("label"), F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("text")).filter("text <> ''")

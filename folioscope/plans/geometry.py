@@ -104,3 +104,22 @@ BOXED = Rows(BOX + ", text string, size double, bold boolean, color int", [
 @query("Z12_boxes_from_spans", "SELECT * FROM (VALUES ('a', 1, 0, 1, '##### **GLOW SPELL 1**' || chr(10) || '**Range**' || chr(10) || 'A light fills the area.'), ('a', 1, 1, 1, '##### **SWIFT FEAT 2**' || chr(10) || 'You move.')) v(doc, page, col, box, text)")
 def boxes_from_spans(spark, d):
     return Z.spans_to_boxes(BOXED.df(spark)).withColumn("box", F.col("box").cast("int"))
+
+
+CARD = Rows(BOX + ", text string", _words([(10.0, ((10.0, "CAREER"), (90.0, "BAKER"), (160.0, "EMT"))), (22.0, ((10.0, "SKILLS"), (92.0, "Heat"), (120.0, "Lift"), (161.0, "Aid"))), (34.0, ((10.0, "GEAR"), (90.0, "Pan")))]))
+
+
+@query("Z6_header_anchored", "SELECT * FROM (VALUES ('a', 1, 'CAREER|BAKER|EMT/SKILLS|Heat Lift|Aid/GEAR|Pan|')) v(doc, page, grid)")
+def header_anchored(spark, d):
+    return Z.header_anchored_grids(CARD.df(spark)).select("doc", "page", G.text_of(F.col("rows")).alias("grid"))
+
+
+SPREAD = Rows(BOX + ", text string, size double, bold boolean, color int", [
+    ("a", 1, 20.0, 50.0, 90.0, 60.0, "Skills and training", 14.0, True, 0), ("a", 1, 20.0, 70.0, 90.0, 80.0, "1 Gun", 9.0, False, 0), ("a", 1, 20.0, 82.0, 90.0, 90.0, "2 Pilot", 9.0, False, 0),
+    ("a", 1, 320.0, 50.0, 390.0, 60.0, "MISHAPS", 14.0, True, 0), ("a", 1, 320.0, 70.0, 390.0, 80.0, "1 Injured", 9.0, False, 0), ("a", 1, 20.0, 200.0, 90.0, 210.0, "Mustering out", 13.0, True, 0), ("a", 1, 20.0, 220.0, 90.0, 230.0, "1 Cash", 9.0, False, 0),
+])
+
+
+@query("Z9_spread_sections", "SELECT * FROM (VALUES ('a', 1, 'Skills', '1 Gun 2 Pilot'), ('a', 1, 'Mishaps', '1 Injured'), ('a', 1, 'Mustering Out', '1 Cash')) v(doc, page, label, text)")
+def spread_sections(spark, d):
+    return Z.spread_sections(SPREAD.df(spark))
