@@ -207,6 +207,30 @@ def archetypes(spark, d):
     return rows.select("draft_id", "increases", F.to_json("attrs").alias("attrs"), F.to_json("skills").alias("skills"), "specialty")
 
 
+def replay(events):
+    """session, choices: what is left of each session's steps (session, seq, choice; a null choice goes one step back).
+
+    A session is the fold of its log, so going back drops the last recorded
+    result and nothing is computed twice.
+    """
+    log = F.array_sort(F.collect_list(F.struct("seq", "choice")))
+    empty = F.array().cast("array<string>")
+
+    def step(acc, e):
+        back = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(e["choice"].isNull(), back).otherwise(F.concat(acc, F.array(e["choice"])))
+
+    return events.groupBy("session").agg(log.alias("log")).select("session", F.aggregate("log", empty, step).alias("choices"))
+
+
+@query("Q7_replay", """WITH RECURSIVE e AS (SELECT o_custkey AS session, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, CASE WHEN o_orderstatus <> 'P' THEN left(o_orderpriority, 1) END AS c FROM orders),
+  f AS (SELECT session, i, CASE WHEN c IS NULL THEN CAST([] AS VARCHAR[]) ELSE [c] END AS s FROM e WHERE i = 1 UNION ALL SELECT e.session, e.i, CASE WHEN e.c IS NULL THEN CASE WHEN len(f.s) > 0 THEN f.s[1:len(f.s) - 1] ELSE f.s END ELSE list_append(f.s, e.c) END FROM f JOIN e ON e.session = f.session AND e.i = f.i + 1)
+  SELECT session, coalesce(array_to_string(s, ''), '') AS choices FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY i DESC) AS r FROM f) WHERE r = 1""")
+def replay_sessions(spark, d):
+    events = table(spark, d, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") != "P", F.left("o_orderpriority", F.lit(1))).alias("choice"))
+    return replay(events).withColumn("choices", F.array_join("choices", ""))
+
+
 # ------------------------------------------------------------------ V
 @query("V1_fit_widths", "SELECT p_brand, (SELECT max(w) FROM range(3, 61) t(w) WHERE (SELECT sum(least(x, w)) FROM (SELECT unnest(nat) AS x)) <= 200) AS cap FROM (SELECT p_brand, list(p_size) AS nat FROM part WHERE p_partkey % 40 = 0 GROUP BY p_brand)")
 def fit_widths(spark, d):
