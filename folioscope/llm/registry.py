@@ -11,7 +11,7 @@ from folioscope.llm.simhash import op8_simhash_pigeonring
 from folioscope.llm.suffix_dedup import op7_suffix_dedup
 from folioscope.llm.topk_search import op4_bm25_wand
 from folioscope.llm.warc import op3_warc_zip
-from folioscope.llm.window_dedup import op1_window_dedup
+from folioscope.llm.window_dedup import OP1_SQL, op1_window_dedup
 
 QUERIES = {
     "op1_window_dedup": op1_window_dedup,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mix_pivotal": op9_mix_pivotal,
     "op10_html_crf": op10_html_crf,
 }
-ORACLES = {"op5_line_rules": OP5_SQL}
+ORACLES = {"op1_window_dedup": OP1_SQL, "op5_line_rules": OP5_SQL}

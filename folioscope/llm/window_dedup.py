@@ -186,3 +186,23 @@ def op1_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat an earlier 20-word window, removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_windows(docs, removed_windows(docs), with_text=False).drop("text")
+
+
+OP1_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), t AS (
+  SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), g AS (
+  SELECT doc_id, i, n, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING) AS win FROM t
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS later FROM g WHERE i + {WIDTH - 1} <= n
+), c AS (
+  SELECT g.doc_id, g.i, g.word, max(CASE WHEN f.later THEN 1 ELSE 0 END) OVER (PARTITION BY g.doc_id ORDER BY g.i ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM g LEFT JOIN f ON f.doc_id = g.doc_id AND f.i = g.i
+), s AS (
+  SELECT doc_id, sum(gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256 FROM c GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id
+"""
