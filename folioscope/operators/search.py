@@ -15,16 +15,20 @@ from folioscope.functions import text as T
 K1, B, HEADING_BOOST, CUTOFF = 1.5, 0.75, 1.0, 0.40
 
 
-def index(chunks: DataFrame) -> dict[str, DataFrame]:
+def index(chunks: DataFrame, terms: DataFrame | None = None) -> dict[str, DataFrame]:
     """postings (term, chunk_id, tf, dl, in_heading), term_stats (term, df) and corpus (n, avg_len).
 
-    chunks: chunk_id, section, text. The section's tokens are indexed with the text.
+    chunks: chunk_id, section, text. The section's tokens are indexed with the
+    text. With ``terms`` (term) only their postings and frequencies are made,
+    which spares the shuffle of all others; the corpus is counted in full.
     """
     head = F.when(F.coalesce(F.col("section"), F.lit("")) == "", F.lit("")).otherwise(F.concat(F.col("section"), F.lit(" ")))
     rows = chunks.select("chunk_id", T.tokenize(F.concat(head, F.coalesce("text", F.lit("")))).alias("tokens"), T.tokenize(F.col("section")).alias("heading"))
+    tokens = rows.select("chunk_id", F.size("tokens").alias("dl"), "heading", F.explode("tokens").alias("term"))
+    if terms is not None:
+        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
     postings = (
-        rows.select("chunk_id", F.size("tokens").alias("dl"), "heading", F.explode("tokens").alias("term"))
-        .groupBy("term", "chunk_id")
+        tokens.groupBy("term", "chunk_id")
         .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max(F.array_contains("heading", F.col("term"))).alias("in_heading"))
     )
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

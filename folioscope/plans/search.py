@@ -41,7 +41,8 @@ def bm25_sql(queries: str, k: int, rel: float, where: str = "TRUE", tail: str =
 
 @query("R2_bm25_topk", bm25_sql(QUESTIONS.sql, 10, 0.4))
 def topk(spark, d):
-    return S.top_hits(S.bm25(S.index(chunks(spark, d)), QUESTIONS.df(spark)), 10)
+    asked = QUESTIONS.df(spark)
+    return S.top_hits(S.bm25(S.index(chunks(spark, d), S.query_terms(asked)), asked), 10)
 
 
 ITEMS_SQL = "(SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3], ' ') AS query FROM benchmark)"
@@ -54,7 +55,8 @@ def items(spark, d):
 
 @query("R2_bm25_multi", bm25_sql(ITEMS_SQL, 5, 0.4))
 def multi(spark, d):
-    return S.top_hits(S.bm25(S.index(chunks(spark, d)), items(spark, d)), 5)
+    asked = items(spark, d)
+    return S.top_hits(S.bm25(S.index(chunks(spark, d), S.query_terms(asked)), asked), 5)
 
 
 @query("R2_scoped", bm25_sql(QUESTIONS.sql, 5, 0.0, "game = 'en' AND source = 'src0'"))
