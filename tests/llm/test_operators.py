@@ -273,6 +273,15 @@ def test_search_equals_full_scoring(docs, rows, block, monkeypatch):
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
 
 
+def test_op4_asks_with_all_terms(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.defaultdict(list)
+    for r in topk_search.op4_bm25_wand(spark, str(tmp_path)).collect():
+        got[r.query_id].append((-round(r.score, 6), key(r.doc_id)))
+    want = brute_search(rows, 10, None, 1)
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted((round(s, 6), d) for s, d in v) for q, v in want.items()}
+
+
 def test_block_max_wand_equals_exhaustive_scoring():
     rng = np.random.default_rng(2)
     topk = topk_search
