@@ -43,7 +43,6 @@ from folioscope.llm.windows import (
     pos_count,
     pos_first,
     pos_marks,
-    pos_tag,
     removed_rows,
     window_digests,
     with_lists,
@@ -129,11 +128,13 @@ def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
     return rank
 
 
-def long_matches(contexts: list[bytes], width: int) -> list[np.ndarray]:
-    """Per context, the starts of ``width`` bytes that also start elsewhere in the contexts."""
+def long_matches(contexts: list[bytes], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per context, runs (first, count) of the starts of ``width`` bytes that also start elsewhere in the contexts."""
     index = RunLengthIndex(contexts)
-    long_ = index.matching_statistics() >= width
-    return [np.flatnonzero(long_[s : s + len(c)]) for s, c in zip(index.starts.tolist(), contexts, strict=True)]
+    edges = np.diff((index.matching_statistics() >= width).astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)  # a match ends before its text's end, so no run crosses one
+    at = np.searchsorted(begin, np.append(index.starts, len(index.letters)))
+    return [(begin[a:b] - s, (end - begin)[a:b]) for a, b, s in zip(at[:-1], at[1:], index.starts, strict=True)]
 
 
 _CONTEXT = "k long, doc long, tag long, first long, want boolean, context binary"
@@ -160,13 +161,14 @@ def _contexts(rows: DataFrame, width: int) -> DataFrame:
 def _marks(contexts: DataFrame, width: int, partitions: int) -> DataFrame:
     """Repeated windows of contexts that meet at their key, by a run-length index per block."""
 
-    def judged(block: list[tuple]):
-        want = [i for i, row in enumerate(block) if row[4]]
+    def judged(block: list[tuple]) -> pa.RecordBatch:
         found = long_matches([row[5] for row in block], width)
-        out = [(block[i][1], block[i][2], int(block[i][3] + s)) for i in want for s in found[i].tolist()]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        arrays = [pa.array(c, pa.int64()) for c in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.ones(len(out), np.int64))], ["doc", "tag", "first", "count"])
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for (_, doc, tag, first, want, _), (begin, count) in zip(block, found, strict=True):
+            if want and len(begin):
+                for column, values in zip(out, (np.full(len(begin), doc), np.full(len(begin), tag), begin + first, count), strict=True):
+                    column.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["doc", "tag", "first", "count"])
 
     def run(batches):
         block, letters, last = [], 0, None
@@ -192,23 +194,23 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     met = entry_table(rows, "byte", width, gram, all_occurrences=True).repartition(partitions, "k")
     marks = pos_marks(F.col("pos"))
     same, anchor = Window.partitionBy("k", "f"), Window.partitionBy("k")
+    passing = marks.bitwiseAND(F.lit(REMOVED)) != 0
     met = (
-        met.withColumn("rank", F.row_number().over(same.orderBy("doc", "pos")))
+        met.withColumn("rank", F.row_number().over(same.orderBy("doc", "tag", "pos")))
         .withColumn("n", F.count(F.lit(1)).over(same))
         .withColumn("known", F.max(marks.bitwiseAND(F.lit(REPEATED))).over(same) > 0)
         .withColumn("shared", (F.min("f").over(anchor) != F.max("f").over(anchor)))
         .withColumn("hot", F.max(marks.bitwiseAND(F.lit(HOT))).over(anchor) > 0)
     )
-    passing = marks.bitwiseAND(F.lit(REMOVED)) != 0
     repeated = (F.col("n") > 1) | F.col("known")
     # a repeated representative was reported by its slice, with the others
     report = passing | (repeated & (marks.bitwiseAND(F.lit(REPEATED)) == 0))
     open_ = ~passing & (F.col("rank") == 1) & (F.col("shared") | F.col("hot"))
-    met = met.select("k", "f", "doc", "pos", "hot", report.alias("report"), open_.alias("open"), (~repeated).alias("want")).filter("report OR open")
+    met = met.select("k", "f", "doc", "tag", "pos", "hot", report.alias("report"), open_.alias("open"), (~repeated).alias("want")).filter("report OR open")
     met = materialize(met, "suffix-entries")
     settled = removed_rows(met.filter("report"))
     left = met.filter("open").select(
-        "k", "doc", "hot", "want", pos_tag(F.col("pos")).alias("tag"), pos_first(F.col("pos")).alias("first"), pos_count(F.col("pos")).alias("count")
+        "k", "doc", "tag", "hot", "want", pos_first(F.col("pos")).alias("first"), pos_count(F.col("pos")).alias("count")
     )
     cold = with_lists(rows, left.filter("NOT hot"), ["first", "count", "k", "want"])
     contexts = materialize(_contexts(cold, width), "suffix-contexts")
@@ -218,9 +220,9 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     d_marks = pos_marks(F.col("pos"))
     meeting = digests.filter((d_marks.bitwiseAND(F.lit(REMOVED)) == 0) | (d_marks.bitwiseAND(F.lit(REPEATED)) != 0))
     many = meeting.groupBy(F.col("d1").alias("m1"), F.col("d2").alias("m2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hot = digests.filter(d_marks.bitwiseAND(F.lit(REMOVED)) != 0).select("doc", "pos")
-    hot = hot.unionByName(meeting.join(many, (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2"))).select("doc", "pos"))
-    hot = hot.select("doc", pos_tag(F.col("pos")).alias("tag"), pos_first(F.col("pos")).alias("first"), F.lit(1).cast("long").alias("count"))
+    hot = digests.filter(d_marks.bitwiseAND(F.lit(REMOVED)) != 0).select("doc", "tag", "pos")
+    hot = hot.unionByName(meeting.join(many, (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2"))).select("doc", "tag", "pos"))
+    hot = hot.select("doc", "tag", pos_first(F.col("pos")).alias("first"), F.lit(1).cast("long").alias("count"))
     return settled.unionByName(marked).unionByName(hot)
 
 

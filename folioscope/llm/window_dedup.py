@@ -38,7 +38,6 @@ from folioscope.llm.windows import (
     pos_count,
     pos_first,
     pos_marks,
-    pos_tag,
     removed_rows,
     window_digests,
     with_lists,
@@ -76,22 +75,25 @@ class FingerprintIndex:
         return name
 
     def _live(self, run: str) -> DataFrame:
-        return self.spark.table(run).filter("live").select("k", "f", "doc", "pos", "live")
+        return self.spark.table(run).filter("live").select("k", "f", "doc", "tag", "pos", "live", "lead")
 
     def add(self, rows: DataFrame) -> None:
         """Merge a batch (doc, tag, text), later than all before it, with the runs."""
         batch = entry_table(rows, "word", self.width, self.gram, all_occurrences=False).repartition(self.buckets, "k")
-        order = Window.partitionBy("k", "f").orderBy("doc", "pos")
+        order = Window.partitionBy("k", "f").orderBy("doc", pos_first(F.col("pos")), "tag")
         place = F.struct("doc", pos_first(F.col("pos")))
-        batch = batch.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.first(place).over(order))
+        batch = batch.withColumn("rank", F.row_number().over(order)).withColumn("least", F.first(place).over(order))
+        # texts that share a place all stay open, one row of each; the first is the run's entry for later batches
+        batch = batch.withColumn("other", (F.col("rank") == 1) | (F.lag("tag").over(order) != F.col("tag")))
         known = F.lit(False)
         for i, run in enumerate(self.runs):
-            past = self.spark.table(run).filter("live").select(F.col("k").alias(f"k{i}"), F.col("f").alias(f"f{i}")).hint("merge")
+            past = self.spark.table(run).filter("lead").select(F.col("k").alias(f"k{i}"), F.col("f").alias(f"f{i}")).hint("merge")
             batch = batch.join(past, (F.col("k") == F.col(f"k{i}")) & (F.col("f") == F.col(f"f{i}")), "left")
             known = known | F.col(f"k{i}").isNotNull()
         marked = pos_marks(F.col("pos")).bitwiseAND(F.lit(REMOVED)) != 0
-        removed = marked | (place > F.col("lead")) | known
-        table = self._save(batch.select("k", "f", "doc", "pos", removed.alias("removed"), (~removed & (F.col("rank") == 1)).alias("live")))
+        removed = marked | (place > F.col("least")) | known
+        live, lead = ~removed & F.col("other"), ~removed & (F.col("rank") == 1)
+        table = self._save(batch.select("k", "f", "doc", "tag", "pos", removed.alias("removed"), live.alias("live"), lead.alias("lead")))
         self.settled.append(removed_rows(self.spark.table(table).filter("removed")))
         self.runs.append(table)
         if len(self.runs) >= self.fan_in:
@@ -118,7 +120,7 @@ class FingerprintIndex:
     def verify(self, rows: DataFrame) -> DataFrame:
         """Removed windows among the unsettled entries: those that start earlier elsewhere."""
         with _bucket_joins(self.spark):
-            open_ = self.unsettled().select("doc", pos_tag(F.col("pos")).alias("tag"), pos_first(F.col("pos")).alias("first"), pos_count(F.col("pos")).alias("count"))
+            open_ = self.unsettled().select("doc", "tag", pos_first(F.col("pos")).alias("first"), pos_count(F.col("pos")).alias("count"))
             open_ = materialize(open_, "window-open")
         digests = materialize(window_digests(with_lists(rows, open_, ["first", "count"]), "word", self.width, all_occurrences=False), "window-digests")
         place = F.struct("doc", pos_first(F.col("pos")).alias("first"))
@@ -126,8 +128,8 @@ class FingerprintIndex:
         firsts = digests.filter(~marked).groupBy(F.col("d1").alias("f1"), F.col("d2").alias("f2"))
         firsts = firsts.agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         later = digests.filter(~marked).join(firsts, (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2"))).filter(place > F.col("lead"))
-        one = later.select("doc", "pos").unionByName(digests.filter(marked).select("doc", "pos"))
-        one = one.select("doc", pos_tag(F.col("pos")).alias("tag"), pos_first(F.col("pos")).alias("first"), F.lit(1).cast("long").alias("count"))
+        one = later.select("doc", "tag", "pos").unionByName(digests.filter(marked).select("doc", "tag", "pos"))
+        one = one.select("doc", "tag", pos_first(F.col("pos")).alias("first"), F.lit(1).cast("long").alias("count"))
         return materialize(one, "window-later")
 
 

@@ -12,8 +12,12 @@ an anchor, which is what keeps shuffles small.
 
 Rows of the entry table: ``k`` where the entry meets its like (h, or a salted
 key for an anchor that is very frequent in one slice), ``f``, ``doc`` and
-``pos``: first window, number of windows, 21 bits of the text's hash (to tell
-texts that share a doc_id) and marks.
+``tag`` (a row's id and 64-bit hash of its text, which tell texts that share a
+doc_id or have none) and ``pos``: first window, number of windows and marks.
+
+Texts of any length are read in pieces of PIECE windows, so memory is bounded by
+a slice of rows and a piece. An entry that a piece's end cuts has a fingerprint
+of its own and is compared by window.
 """
 
 from __future__ import annotations
@@ -28,34 +32,31 @@ from folioscope.llm.common import NULL_ID, PolyHash, byte_rows, mix64, slices, w
 HOT, REPEATED, REMOVED = 1, 2, 4
 #: Reps of one anchor in a slice beyond which the anchor counts as hot, and how many of them keep its own key.
 HOT_AT, HOT_KEEP = 8, 2
-_PLACE_BITS = 28
+#: Windows that one pass handles; places inside a piece fit into _PLACE_BITS bits.
+PIECE, _PLACE_BITS = 1 << 22, 28
 _BASE = 0xD1342543DE82EF95
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-ENTRY = "k long, f long, doc long, pos long"
+ENTRY = "k long, f long, doc long, tag long, pos long"
 
 
 def keyed(docs: DataFrame, *others: str) -> DataFrame:
-    """doc (null: the least long), tag (21 bits of the text's hash) and text."""
+    """doc (null: the least long), tag (the text's hash) and text."""
     text = F.col("text").cast("string")
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.xxhash64(text).bitwiseAND(F.lit(0x1FFFFF)).cast("long").alias("tag"),
+        F.xxhash64(text).alias("tag"),
         text.alias("text"),
         *others,
     )
 
 
 def pos_first(pos: Column) -> Column:
-    return F.shiftright(pos, 32)
+    return F.shiftright(pos, 12)
 
 
 def pos_count(pos: Column) -> Column:
-    return F.shiftright(pos, 24).bitwiseAND(F.lit(0xFF))
-
-
-def pos_tag(pos: Column) -> Column:
-    return F.shiftright(pos, 3).bitwiseAND(F.lit(0x1FFFFF))
+    return F.shiftright(pos, 3).bitwiseAND(F.lit(0x1FF))
 
 
 def pos_marks(pos: Column) -> Column:
@@ -63,43 +64,53 @@ def pos_marks(pos: Column) -> Column:
 
 
 class Units:
-    """The units of a slice of rows: their hashes, and their places in the bytes."""
+    """The units of a slice of rows: their places in the bytes, and hashes of any stretch of them."""
 
     def __init__(self, column: pa.Array, unit: str):
         self.data, self.byte_offsets = byte_rows(column)
         if unit == "word":
             self.starts, self.ends, self.offsets = word_spans(self.data, self.byte_offsets)
-            self.poly = PolyHash(word_hashes(self.data, self.starts, self.ends), _BASE)
         else:
             self.starts = self.ends = None
             self.offsets = self.byte_offsets
-            self.poly = PolyHash(_BYTE_VALUES[self.data], _BASE)
 
+    def poly(self, low: int, high: int) -> PolyHash:
+        """Hashes of ranges of the units from low to high; places count from low."""
+        if self.starts is None:
+            return PolyHash(_BYTE_VALUES[self.data[low:high]], _BASE)
+        if low == high:
+            return PolyHash(np.zeros(0, np.uint64), _BASE)
+        begin, end = int(self.starts[low]), int(self.ends[high - 1])
+        return PolyHash(word_hashes(self.data[begin:end], self.starts[low:high] - begin, self.ends[low:high] - begin), _BASE)
 
-def entries(units: Units, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, h, f) of every entry; first windows count from the start of the slice."""
+
+def entries(units: Units, width: int, gram: int, piece: int = PIECE):
+    """Per piece (row, first window, windows, h, f) of every entry; first windows count from the start of the slice."""
     n = int(units.offsets[-1])
-    none = np.zeros(0, np.int64)
-    if n < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    for low in range(0, max(0, n - width + 1), piece):
+        yield _piece_entries(units, width, gram, low, min(n, low + piece + width - 1))
+
+
+def _piece_entries(units: Units, width: int, gram: int, low: int, high: int) -> tuple[np.ndarray, ...]:
+    n, poly = high - low, units.poly(low, high)
     at = np.arange(n - gram + 1)
-    hashes = mix64(units.poly.ranges(at, at + gram))
+    hashes = mix64(poly.ranges(at, at + gram))
     place = np.uint64((1 << _PLACE_BITS) - 1)
     least = sliding_least((hashes & ~place) | at.astype(np.uint64), width - gram + 1)
-    sizes = np.diff(units.offsets)
-    whole = np.zeros(n + 1, np.int32)  # starts whose window fits into their row
-    fits = sizes >= width
-    whole[units.offsets[:-1][fits]] += 1
-    whole[units.offsets[1:][fits] - width + 1] -= 1
-    start = np.flatnonzero(np.cumsum(whole[:n]) > 0)
+    begin, end = units.offsets[:-1], units.offsets[1:] - width + 1  # starts whose window fits into their row
+    fits = (end > begin) & (end > low) & (begin < high - width + 1)
+    whole = np.zeros(n - width + 2, np.int8)
+    np.add.at(whole, np.maximum(begin[fits] - low, 0), 1)
+    np.add.at(whole, np.minimum(end[fits] - low, n - width + 1), -1)
+    start = np.flatnonzero(np.cumsum(whole[:-1], dtype=np.int8) > 0)
     anchor = (least[start] & place).astype(np.int64)
-    fresh = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(start) else none
+    row = np.searchsorted(units.offsets, start + low, side="right") - 1
+    fresh = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])) if len(start) else start
     first, count = start[fresh], np.diff(np.append(fresh, len(start)))
-    anchor = anchor[fresh]
-    row = np.searchsorted(units.offsets, first, side="right") - 1
+    anchor, row = anchor[fresh], row[fresh]
     shape = ((anchor - first) << 20 | count).astype(np.uint64)
-    f = mix64(units.poly.ranges(first, first + count - 1 + width) ^ mix64(shape + np.uint64(0x51ED270B)))
-    return row, first, count, hashes[anchor], f
+    f = mix64(poly.ranges(first, first + count - 1 + width) ^ mix64(shape + np.uint64(0x51ED270B)))
+    return row, first + low, count, hashes[anchor], f
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -132,47 +143,53 @@ def entry_table(rows: DataFrame, unit: str, width: int, gram: int, all_occurrenc
     third of all rows share down to a row per slice.
     """
 
+    def settled(units: Units, doc: np.ndarray, tag: np.ndarray, row, first, count, h, f) -> pa.RecordBatch:
+        own = first - units.offsets[:-1][row]
+        order = np.lexsort((tag[row], own, doc[row], f))
+        row, first, own, count, h, f = (x[order] for x in (row, first, own, count, h, f))
+        head = np.concatenate([[True], f[1:] != f[:-1]]) if len(f) else np.zeros(0, bool)
+        group = np.cumsum(head) - 1
+        leader = np.flatnonzero(head)
+        marks = np.zeros(len(f), np.int64)
+        if all_occurrences:
+            repeated = np.bincount(group, minlength=len(leader))[group] > 1 if len(f) else head
+            gone, stays = repeated, head
+            marks[repeated] |= REPEATED
+        else:
+            lead = leader[group]
+            earliest = (doc[row] == doc[row[lead]]) & (own == own[lead])
+            gone = ~earliest
+            # of the earliest, one of each text goes on
+            stays = earliest & np.concatenate([[True], (tag[row][1:] != tag[row][:-1]) | ~earliest[:-1] | head[1:]]) if len(f) else earliest
+        g_row, g_first, g_count = _merged(row[gone], own[gone], count[gone])
+        g_key = mix64(mix64(doc[g_row].astype(np.uint64) ^ tag[g_row].astype(np.uint64)) ^ g_first.astype(np.uint64))
+        row, own, count, h, f, marks = (x[stays] for x in (row, own, count, h, f, marks))
+        key = h.copy()
+        if len(h):
+            by_h = np.argsort(h, kind="stable")
+            fresh = np.concatenate([[True], h[by_h][1:] != h[by_h][:-1]])
+            begin = np.flatnonzero(fresh)
+            which = np.cumsum(fresh) - 1
+            hot = np.diff(np.append(begin, len(h)))[which] > HOT_AT
+            marks[by_h[hot]] |= HOT
+            salted = by_h[hot & (np.arange(len(h)) - begin[which] >= HOT_KEEP)]
+            key[salted] = mix64(h[salted] ^ mix64(f[salted]))
+        columns = (
+            np.concatenate([key, g_key]).view(np.int64),
+            np.concatenate([f.view(np.int64), g_count]),
+            np.concatenate([doc[row], doc[g_row]]),
+            np.concatenate([tag[row], tag[g_row]]),
+            np.concatenate([own << 12 | count << 3 | marks, g_first << 12 | REMOVED]),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "f", "doc", "tag", "pos"])
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 units = Units(part.column("text"), unit)
-                row, first, count, h, f = entries(units, width, gram)
                 doc, tag = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
-                own = first - units.offsets[:-1][row]
-                order = np.lexsort((own, doc[row], f))
-                row, first, own, count, h, f = (x[order] for x in (row, first, own, count, h, f))
-                head = np.concatenate([[True], f[1:] != f[:-1]]) if len(f) else np.zeros(0, bool)
-                group = np.cumsum(head) - 1
-                leader = np.flatnonzero(head)
-                marks = np.zeros(len(f), np.int64)
-                if all_occurrences:
-                    repeated = np.bincount(group, minlength=len(leader))[group] > 1 if len(f) else head
-                    gone, stays = repeated, head
-                    marks[repeated] |= REPEATED
-                else:
-                    lead = leader[group]
-                    stays = (doc[row] == doc[row[lead]]) & (own == own[lead])
-                    gone = ~stays
-                g_row, g_first, g_count = _merged(row[gone], own[gone], count[gone])
-                g_key = mix64(mix64(doc[g_row].astype(np.uint64)) ^ g_first.astype(np.uint64))
-                row, own, count, h, f, marks = (x[stays] for x in (row, own, count, h, f, marks))
-                key = h.copy()
-                if len(h):
-                    by_h = np.argsort(h, kind="stable")
-                    fresh = np.concatenate([[True], h[by_h][1:] != h[by_h][:-1]])
-                    begin = np.flatnonzero(fresh)
-                    which = np.cumsum(fresh) - 1
-                    hot = np.diff(np.append(begin, len(h)))[which] > HOT_AT
-                    marks[by_h[hot]] |= HOT
-                    salted = by_h[hot & (np.arange(len(h)) - begin[which] >= HOT_KEEP)]
-                    key[salted] = mix64(h[salted] ^ mix64(f[salted]))
-                columns = (
-                    np.concatenate([key, g_key]).view(np.int64),
-                    np.concatenate([f.view(np.int64), g_count]),
-                    np.concatenate([doc[row], doc[g_row]]),
-                    np.concatenate([own << 32 | count << 24 | tag[row] << 3 | marks, g_first << 32 | tag[g_row] << 3 | REMOVED]),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "f", "doc", "pos"])
+                for found in entries(units, width, gram):
+                    yield settled(units, doc, tag, *found)
 
     return rows.mapInArrow(run, ENTRY)
 
@@ -181,7 +198,7 @@ def removed_rows(entries_: DataFrame) -> DataFrame:
     """doc, tag, first, count of runs of removed windows, from rows that pos marks or that stand for one entry."""
     gone = pos_marks(F.col("pos")).bitwiseAND(F.lit(REMOVED)) != 0
     return entries_.select(
-        "doc", pos_tag(F.col("pos")).alias("tag"), pos_first(F.col("pos")).alias("first"),
+        "doc", "tag", pos_first(F.col("pos")).alias("first"),
         F.when(gone, F.col("f")).otherwise(pos_count(F.col("pos"))).alias("count"),
     )
 
@@ -204,57 +221,76 @@ def list_arrays(column: pa.Array, fields: int) -> tuple[np.ndarray, list[np.ndar
 def covered(offsets: np.ndarray, item_offsets: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
     """Flags of the units that the given windows cover; offsets are those of the rows' units."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(item_offsets))
-    change = np.zeros(int(offsets[-1]) + 1, np.int64)
-    np.add.at(change, offsets[:-1][row] + first, 1)
-    np.add.at(change, offsets[:-1][row] + first + count - 1 + width, -1)
-    return np.cumsum(change[:-1]) > 0
+    begin = offsets[:-1][row] + first
+    end = begin + count - 1 + width
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order]) if len(end) else end
+    fresh = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(begin) else begin
+    change = np.zeros(int(offsets[-1]) + 1, np.int8)
+    change[begin[fresh]] = 1
+    change[end[np.append(fresh[1:], len(end)) - 1] if len(fresh) else end] = -1
+    return np.cumsum(change[:-1], dtype=np.int8) > 0
 
 
-WINDOW = "d1 long, d2 long, doc long, pos long"
+WINDOW = "d1 long, d2 long, doc long, tag long, pos long"
+#: Windows that are digested at once.
+DIGESTS = 1 << 18
 
 
 def window_digests(rows: DataFrame, unit: str, width: int, all_occurrences: bool) -> DataFrame:
     """128-bit digests of single windows, from rows (doc, tag, text, items: first, count).
 
     Windows are digested in a canonical form (words joined by a space, or the
-    bytes). Repeats inside a slice are settled as in entry_table.
+    bytes). Repeats among the windows digested at once are settled as in entry_table.
     """
     import xxhash
 
+    def digested(units: Units, doc: np.ndarray, tag: np.ndarray, row: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        at = units.offsets[:-1][row] + own
+        low, high = int(at.min()), int(at.max()) + width
+        digest = xxhash.xxh3_128_digest
+        if unit == "word":
+            begin = int(units.starts[low])
+            raw = units.data[begin : int(units.ends[high - 1])].tobytes()
+            words = [raw[s:e] for s, e in zip((units.starts[low:high] - begin).tolist(), (units.ends[low:high] - begin).tolist(), strict=True)]
+            found = b"".join(digest(b" ".join(words[i : i + width])) for i in (at - low).tolist())
+        else:
+            raw = units.data[low:high].tobytes()
+            found = b"".join(digest(raw[i : i + width]) for i in (at - low).tolist())
+        d = np.frombuffer(found, "<i8").reshape(-1, 2)
+        order = np.lexsort((tag[row], own, doc[row], d[:, 1], d[:, 0]))
+        row, own, d = row[order], own[order], d[order]
+        head = np.concatenate([[True], (d[1:] != d[:-1]).any(1)])
+        group = np.cumsum(head) - 1
+        if all_occurrences:
+            repeated = np.bincount(group)[group] > 1
+            marks = np.where(repeated, REMOVED, 0) | np.where(repeated & head, REPEATED, 0)
+        else:
+            lead = np.flatnonzero(head)[group]
+            marks = np.where((doc[row] == doc[row[lead]]) & (own == own[lead]), 0, REMOVED)
+        # what is settled already passes through under keys of its own
+        only = (marks & REMOVED) != 0
+        if all_occurrences:
+            only &= (marks & REPEATED) == 0
+        spread = mix64(mix64(doc[row].astype(np.uint64) ^ tag[row].astype(np.uint64)) ^ own.astype(np.uint64)).view(np.int64)
+        columns = np.where(only, spread, d[:, 0]), np.where(only, own, d[:, 1]), doc[row], tag[row], own << 12 | 1 << 3 | marks
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["d1", "d2", "doc", "tag", "pos"])
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 units = Units(part.column("text"), unit)
                 item_offsets, (first, count) = list_arrays(part.column("items"), 2)
                 item_row = np.repeat(np.arange(part.num_rows), np.diff(item_offsets))
-                row = np.repeat(item_row, count)
-                own = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else first, count) + np.arange(len(row))
-                at = units.offsets[:-1][row] + own
-                raw = units.data.tobytes()
-                digest = xxhash.xxh3_128_digest
-                if unit == "word":
-                    words = [raw[s:e] for s, e in zip(units.starts.tolist(), units.ends.tolist(), strict=True)]
-                    found = b"".join(digest(b" ".join(words[i : i + width])) for i in at.tolist())
-                else:
-                    found = b"".join(digest(raw[i : i + width]) for i in at.tolist())
-                d = np.frombuffer(found, "<i8").reshape(-1, 2)
+                order = np.lexsort((first, item_row))
+                item_row, first, count = item_row[order], first[order], count[order]
+                cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(count) // DIGESTS)) + 1).tolist(), len(count)]
                 doc, tag = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
-                order = np.lexsort((own, doc[row], d[:, 1], d[:, 0]))
-                row, own, d = row[order], own[order], d[order]
-                head = np.concatenate([[True], (d[1:] != d[:-1]).any(1)]) if len(d) else np.zeros(0, bool)
-                lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(d) else np.zeros(0, np.int64)
-                if all_occurrences:
-                    repeated = np.bincount(np.cumsum(head) - 1)[np.cumsum(head) - 1] > 1 if len(d) else head
-                    marks = np.where(repeated, REMOVED, 0) | np.where(repeated & head, REPEATED, 0)
-                else:
-                    marks = np.where((doc[row] == doc[row[lead]]) & (own == own[lead]), 0, REMOVED)
-                # what is settled already passes through under keys of its own
-                only = (marks & REMOVED) != 0
-                if all_occurrences:
-                    only &= (marks & REPEATED) == 0
-                spread = mix64(mix64(doc[row].astype(np.uint64)) ^ own.astype(np.uint64)).view(np.int64)
-                d1, d2 = np.where(only, spread, d[:, 0]), np.where(only, own, d[:, 1])
-                pos = own << 32 | 1 << 24 | tag[row] << 3 | marks
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (d1, d2, doc[row], pos)], ["d1", "d2", "doc", "pos"])
+                for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                    if high > low:
+                        many = count[low:high]
+                        row = np.repeat(item_row[low:high], many)
+                        own = np.repeat(first[low:high] - (np.cumsum(many) - many), many) + np.arange(len(row))
+                        yield digested(units, doc, tag, row, own)
 
     return rows.filter("items IS NOT NULL").select("doc", "tag", "text", "items").mapInArrow(run, WINDOW)
