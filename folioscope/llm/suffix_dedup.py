@@ -11,9 +11,10 @@ with the neighbouring suffix shrinks by one from position to position, so match
 lengths are computed at run ends alone and streamed over the text as matching
 statistics; windows whose longest match is 200 bytes or more are marked.
 
-An anchor that is very frequent in one slice (HOT) would put its contexts into
-one block without bound; its windows are compared by 128-bit digests instead,
-which is exact and spreads over all tasks.
+Groups of contexts are bounded, so blocks are. An anchor that is very frequent in
+one slice (HOT), or whose contexts come to more than GROUP_LETTERS in all slices
+together, would put its contexts into one block without bound; its windows are
+compared by 128-bit digests instead, which is exact and spreads over all tasks.
 
 Defined cases: a null text is an empty one; bytes are those of UTF-8, matches
 never cross documents and what remains may cut a character; rows that share
@@ -49,8 +50,8 @@ from folioscope.llm.windows import (
 )
 
 WIDTH, GRAM = 200, 72
-#: Letters of a block from which it is indexed; a group of contexts is never split.
-BLOCK_LETTERS = 1 << 19
+#: Letters from which a block is indexed, and the most that the contexts of an anchor have to be one group of a block.
+BLOCK_LETTERS, GROUP_LETTERS = 1 << 18, 1 << 17
 
 
 class RunLengthIndex:
@@ -195,12 +196,13 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     marks = pos_marks(F.col("pos"))
     same, anchor = Window.partitionBy("k", "f"), Window.partitionBy("k")
     passing = marks.bitwiseAND(F.lit(REMOVED)) != 0
+    letters = F.when((F.col("rank") == 1) & ~passing, pos_count(F.col("pos")) + (width - 1)).otherwise(0)
     met = (
         met.withColumn("rank", F.row_number().over(same.orderBy("doc", "tag", "pos")))
         .withColumn("n", F.count(F.lit(1)).over(same))
         .withColumn("known", F.max(marks.bitwiseAND(F.lit(REPEATED))).over(same) > 0)
         .withColumn("shared", (F.min("f").over(anchor) != F.max("f").over(anchor)))
-        .withColumn("hot", F.max(marks.bitwiseAND(F.lit(HOT))).over(anchor) > 0)
+        .withColumn("hot", (F.max(marks.bitwiseAND(F.lit(HOT))).over(anchor) > 0) | (F.sum(letters).over(anchor) > GROUP_LETTERS))
     )
     repeated = (F.col("n") > 1) | F.col("known")
     # a repeated representative was reported by its slice, with the others
