@@ -52,6 +52,8 @@ from folioscope.llm.windows import (
 WIDTH, GRAM = 200, 72
 #: Letters from which a block is indexed, and the most that the contexts of an anchor have to be one group of a block.
 BLOCK_LETTERS, GROUP_LETTERS = 1 << 18, 1 << 17
+#: Letters that are packed into the first ranks of suffixes.
+PACKED = 5
 
 
 class RunLengthIndex:
@@ -63,7 +65,7 @@ class RunLengthIndex:
         letters = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
         letters[self.starts + lengths] = np.arange(len(texts))  # ends of texts are letters of their own
         self.letters = letters
-        order = suffix_order(letters)
+        order = suffix_order(letters, len(texts))
         before = letters[order - 1]  # position -1 is the last end, which is a letter of its own
         head = np.concatenate([[True], before[1:] != before[:-1]])
         tail = np.concatenate([head[1:], [True]])
@@ -108,21 +110,39 @@ class RunLengthIndex:
         return best
 
 
-def suffix_order(letters: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling; the last letter must occur once."""
+def suffix_order(letters: np.ndarray, texts: int) -> np.ndarray:
+    """Suffix array by doubling; letters below ``texts`` occur once each, the last letter is one of them."""
     n = len(letters)
-    order = np.argsort(letters, kind="stable")
-    rank, step = _ranks(letters[order], order), 1
+    ends = letters < texts
+    packed, live, end = np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, np.int64)
+    for i in range(PACKED):  # up to the suffix's text's end, whose own letter parts what is equal so far
+        letter = np.zeros(n, np.int64)
+        letter[: n - i] = np.where(ends[i:], 0, letters[i:] - texts + 1)
+        letter *= live
+        packed = packed << 9 | letter
+        here = np.zeros(n, bool)
+        here[: n - i] = ends[i:]
+        here &= live
+        end[here] = letters[np.flatnonzero(here) + i] + 1
+        live &= ~here
+    keys = packed * (texts + 1) + end if texts < 1 << 17 else _ranks_of(np.lexsort((end, packed)), packed, end)
+    order = np.argsort(keys)
+    rank, step = _ranks(keys[order], order), PACKED
     while rank.max(initial=0) < n - 1:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        keys = rank * (n + 1) + ahead
-        order = np.argsort(keys, kind="stable")
+        keys = rank * (n + 1)
+        keys[: n - step] += rank[step:] + 1
+        order = np.argsort(keys)
         rank = _ranks(keys[order], order)
         step *= 2
     return order
 
 
+def _ranks_of(order: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    a, b, rank = first[order], second[order], np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return rank
+
+
 def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
