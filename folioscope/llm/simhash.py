@@ -61,9 +61,14 @@ def fingerprint(text: str | None) -> int:
     hashes = shingle_hashes((text or "").encode().lower())
     if not len(hashes):
         return 0
+    return int(majority(hashes, np.array([0, len(hashes)]))[0])
+
+
+def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs of hashes (offsets ``at``, none empty): the bits that more than half of them have."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    ones = np.stack([np.add.reduce(bits[i:j], axis=0, dtype=np.int32) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]) if len(at) > 1 else np.zeros((0, 64), np.int32)
+    return np.packbits(2 * ones > np.diff(at)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
