@@ -63,6 +63,11 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_of(df: DataFrame) -> str:
+    """The folder behind a DataFrame made by materialize() that has files."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a DataFrame made by materialize()."""
     spark = df.sparkSession

@@ -282,21 +282,41 @@ def test_op4_asks_with_all_terms(spark, docs, rows, tmp_path):
     assert {q: sorted(v) for q, v in got.items()} == {q: sorted((round(s, 6), d) for s, d in v) for q, v in want.items()}
 
 
-def test_block_max_wand_equals_exhaustive_scoring():
+@pytest.mark.parametrize(("block", "dense"), [(64, 0.05), (4, 0.3), (8, 2.0)])
+def test_block_max_pruning_equals_exhaustive_scoring(block, dense, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "DENSE", dense)
     rng = np.random.default_rng(2)
-    topk = topk_search
-    for trial in range(60):
-        lists = []
-        for term in range(int(rng.integers(1, 7))):
-            docs = np.sort(rng.choice(400, int(rng.integers(1, 300)), replace=False))
-            lists.append((term, float(rng.random() + 0.1), topk.Postings(docs, rng.random(len(docs)).round(1) + 0.1)))
-        total = collections.Counter()
-        for _, w, p in lists:
-            for d, s in zip(p.docs, p.scores):
-                total[d] += w * s
-        want = sorted(((-s, d) for d, s in total.items()))[:10]
-        got = topk.block_max_wand(lists, 10)
-        assert [round(s, 9) for s, _ in got] == [round(-s, 9) for s, _ in want]
+    for trial in range(40):
+        n = int(rng.integers(1, 400))
+        at = [(d, t, round(float(rng.random()), 1) + 0.1) for t in range(12) for d in np.flatnonzero(rng.random(n) < rng.random())]
+        if not at:
+            continue
+        doc, term, score = (np.array(x) for x in zip(*at, strict=True))
+        shard = topk_search.Shard(doc, term * 7, score, rng.integers(1, 50, n))
+        asks = [np.sort(rng.choice(15, int(rng.integers(0, 8)), replace=False)) * 7 for _ in range(9)]
+        weights = [rng.random(len(a)) + 0.1 for a in asks]
+        want = []
+        for a, w in zip(asks, weights, strict=True):
+            total = collections.Counter()
+            for d, t, x in at:
+                if t * 7 in a:
+                    total[int(d)] += x * w[list(a).index(t * 7)]
+            want.append(sorted(((-s, d) for d, s in total.items()))[:10])
+        floors = np.array([-x[-1][0] * rng.random() if len(x) == 10 and i % 2 else 0.0 for i, x in enumerate(want)])
+        who, which, found = shard.best(np.cumsum([0, *map(len, asks)]), np.concatenate(asks), np.concatenate(weights), floors, 10)
+        for q, x in enumerate(want):
+            got = sorted(zip((-found[who == q]).tolist(), which[who == q].tolist(), strict=True))[:10]
+            assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in x]
+
+
+def test_waves_and_shards_give_the_same_best(docs, monkeypatch):
+    queries = docs.filter("doc_id % 20 = 0")
+    answer = lambda: sorted((r.query_id, r.rank, key(r.doc_id), r.score) for r in topk_search.search(docs, queries, terms=None, min_df=1).collect())
+    whole = answer()
+    for name, value in (("SHARD_DOCS", 7), ("QUERIES", 2), ("WAVES", (4, 2)), ("BLOCK", 3)):
+        monkeypatch.setattr(topk_search, name, value)
+    assert answer() == whole
 
 
 # ------------------------------------------------------------------ op5
