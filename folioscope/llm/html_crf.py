@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import slices
 
-_TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: A whole tag as most are, without < or > in quotes.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _UNFINISHED = re.compile(r"</?[a-zA-Z!?][^>]*\Z")
 #: Elements of the HTML standard by how they shape text (fixed values).
@@ -46,10 +47,49 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 LIST_ENDS = frozenset("ul ol dl table div article section main body form nav aside".split())
 
 
+class Path:
+    """The open elements that are not inline, by what the features say about them: the same for all blocks that share them."""
+
+    __slots__ = ("found", "tag", "above", "in_head", "children", "_features")
+
+    def __init__(self, found: dict[str, None], tag: str, above: str, in_head: bool):
+        self.found, self.tag, self.above, self.in_head = found, tag, above, in_head
+        self.children: dict[str, Path] = {}
+        self._features: tuple[str, ...] | None = None
+
+    def child(self, name: str) -> Path:
+        there = self.children.get(name)
+        if there is None:
+            tag, own = _own_features(name)
+            found = self.found if own.keys() <= self.found.keys() else self.found | own
+            there = self.children[name] = Path(found, tag, self.tag, self.in_head or tag == "head")
+            _KNOWN[0] += 1
+        return there
+
+    def features(self) -> tuple[str, ...]:
+        """Tags of all ancestors, their class and id tokens, and the innermost two tags."""
+        if self._features is None:
+            self._features = (*self.found, "leaf:" + "/".join(filter(None, (self.above, self.tag))))
+        return self._features
+
+
+#: Paths that pages share, how many they are, and how many are kept for later pages.
+_ROOT, _KNOWN, KEPT_PATHS = [Path({}, "", "", False)], [0], 20_000
+
+
+@lru_cache(maxsize=20_000)
+def _own_features(name: str) -> tuple[str, dict[str, None]]:
+    tag, *names = name.split(".")
+    own = dict.fromkeys(["in:" + tag, *("named:" + n for n in names)])
+    if any(BESIDE.match(n) for n in names):
+        own["beside"] = None
+    return tag, own
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
@@ -63,78 +103,124 @@ def _names(tag: str, attributes: str) -> str:
     return ".".join([tag, *dict.fromkeys(t for t in tokens if t)])
 
 
+def tokens(page: str):
+    """(start, end, closing, tag, attributes) of the page's tags; comments and declarations have no tag.
+
+    Takes time in proportion to the page: what is known to have no end ahead is
+    never looked for again.
+    """
+    last = {c: page.rfind(c) for c in ">\"'"}
+    endless: set[int] = set()  # places outside quotes from which no > follows
+
+    def close(at: int) -> int:
+        seen = []
+        while at not in endless:
+            seen.append(at)
+            stop = _STOP.search(page, at)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                return stop.end()
+            if stop.start() >= last[stop[0]]:
+                break
+            at = page.find(stop[0], stop.end()) + 1
+        endless.update(seen)
+        return page.find(">", seen[0] if seen else at) + 1  # a quote is never closed, so it is none
+
+    at = page.find("<")
+    while at >= 0:
+        end, closing, tag, attributes = 0, "", "", ""
+        if found := _PLAIN_TAG.match(page, at):
+            closing, tag, attributes = found.groups()
+            end, tag = found.end(), tag.lower()
+        elif page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else len(page)
+        elif at < last[">"]:
+            if page[at + 1] in "!?":
+                end = page.find(">", at + 2) + 1
+            elif found := _TAG.match(page, at):
+                end = close(found.end())
+                closing, tag, attributes = found[1], found[2].lower(), page[found.end() : end - 1]
+        if end:
+            at = (yield at, end, closing, tag, attributes) or end
+        else:
+            at += 1
+        at = page.find("<", at)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in page order."""
     blocks: list[Block] = []
-    stack: list[str] = []  # names of open elements
+    if _KNOWN[0] > KEPT_PATHS:
+        _ROOT[0], _KNOWN[0] = Path({}, "", "", False), 0
+    paths = [_ROOT[0]]  # of all open elements; an inline one has that of its parent
     tags: list[str] = []
+    times: Counter[str] = Counter()
     parts: list[str] = []
     linked_parts: list[str] = []
-    anchors = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text:
-                blocks.append(Block(tuple(n for n, t in zip(stack, tags, strict=True) if t not in INLINE), text, sum(map(len, linked_parts))))
+            if text and not paths[-1].in_head:
+                blocks.append(Block(paths[-1], text, sum(map(len, linked_parts))))
             parts.clear()
             linked_parts.clear()
 
-    def pop_to(depth: int) -> None:
-        nonlocal anchors
-        anchors -= tags[depth:].count("a")
-        del stack[depth:], tags[depth:]
+    def pop_last(names: frozenset[str] | set[str], before: frozenset[str] = frozenset()) -> None:
+        """Close the innermost element of a name, unless one of ``before`` is further in."""
+        if not any(times[n] for n in names):
+            return
+        for depth in range(len(tags) - 1, -1, -1):
+            if tags[depth] in names:
+                times.subtract(tags[depth:])
+                del tags[depth:], paths[depth + 1 :]
+                return
+            if tags[depth] in before:
+                return
 
     def data(text: str) -> None:
-        parts.append(text)
-        if anchors > 0:
-            linked_parts.append(text)
-
-    at, end = 0, len(page)
-    while at < end:
-        token = _TOKEN.search(page, at)
-        if token is None:
-            rest = page[at:]
-            data(_UNFINISHED.sub("", rest))
+        if text:
+            parts.append(text)
+            if times["a"] > 0:
+                linked_parts.append(text)
+
+    at, scan, resume = 0, tokens(page), None
+    while True:
+        try:
+            start, end, closing, tag, attributes = scan.send(resume)
+        except StopIteration:
             break
-        if token.start() > at:
-            data(page[at : token.start()])
-        at = token.end()
-        tag = (token[2] or token[5] or "").lower()
+        resume = None
+        data(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attributes = token[1] or token[4], token[3] or token[6] or ""
         if tag not in INLINE:
             flush()
         if closing:
-            for depth in range(len(tags) - 1, -1, -1):
-                if tags[depth] == tag:
-                    pop_to(depth)
-                    break
+            pop_last({tag})
             continue
         if tag in RAW and tag != "head":
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, page.rfind(">") + 1)
+                at = resume = close.end() if close else len(page)
             continue
         if tag in VOID:
             continue
-        if tag in CLOSES_P and "p" in tags:
-            pop_to(len(tags) - 1 - tags[::-1].index("p"))
+        if tag in CLOSES_P:
+            pop_last({"p"})
         if tag in SAME:
-            for depth in range(len(tags) - 1, -1, -1):
-                if tags[depth] in SAME[tag]:
-                    pop_to(depth)
-                    break
-                if tags[depth] in LIST_ENDS:
-                    break
+            pop_last(SAME[tag], LIST_ENDS)
         if attributes.endswith("/") and tag not in INLINE and not _ATTRIBUTE.search(attributes):
             continue
-        stack.append(_names(tag, attributes) if tag not in INLINE else tag)
+        paths.append(paths[-1] if tag in INLINE else paths[-1].child(_names(tag, attributes)))
         tags.append(tag)
-        anchors += tag == "a"
+        times[tag] += 1
+    data(_UNFINISHED.sub("", page[at:]))
     flush()
-    return [b for b in blocks if "head" not in b.path]
+    return blocks
 
 
 # ---------------------------------------------------------------- features
@@ -147,22 +233,6 @@ BESIDE = re.compile(
 )
 
 
-@lru_cache(maxsize=20_000)
-def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
-    """Tags of all ancestors, their class and id tokens, and the innermost two tags."""
-    found = {}
-    for name in path:
-        tag, *tokens = name.split(".")
-        found["in:" + tag] = None
-        for token in tokens:
-            found["named:" + token] = None
-            if BESIDE.match(token):
-                found["beside"] = None
-    tags = [n.split(".")[0] for n in path]
-    found["leaf:" + "/".join(tags[-2:])] = None
-    return tuple(found)
-
-
 def text_features(block: Block, place: float) -> list[str]:
     text = block.text
     n, words = len(text), text.count(" ") + 1
@@ -182,7 +252,7 @@ def text_features(block: Block, place: float) -> list[str]:
 
 def features(blocks: list[Block]) -> list[list[str]]:
     last = max(1, len(blocks) - 1)
-    return [["bias", *path_features(b.path), *text_features(b, min(0.99, i / last))] for i, b in enumerate(blocks)]
+    return [["bias", *b.path.features(), *text_features(b, min(0.99, i / last))] for i, b in enumerate(blocks)]
 
 
 # ---------------------------------------------------------------- labelled pages
