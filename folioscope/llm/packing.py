@@ -8,8 +8,9 @@ none needs padding.
 
 Ids are those of the tokenizer file, which is a parameter. Its byte-level
 vocabulary is read once per worker and run by a faster engine with the same
-vocabulary and merge order; texts that hold a special token's string, and files
-of another kind, go through the tokenizers library itself.
+vocabulary and merge order; texts that hold a special token's string or a very
+long run of white space, and files of another kind, go through the tokenizers
+library itself.
 
 Defined cases: a null text is an empty one and yields the end id alone; texts of
 any length are encoded whole; repeated rows yield their pieces again, each with
@@ -20,6 +21,7 @@ ignored. sequence_id is unique: partition number and place within it.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +34,9 @@ from folioscope.llm.common import slices
 
 MAX_TOKENS = 2048
 END_ID = 1
+#: White-space characters in a row from which the fast engine's pattern may run out of stack.
+LONG_RUN = 1 << 16
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 #: The usual split of byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -83,7 +88,8 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        long_run = len(text) >= LONG_RUN and _RUN.search(text)
+        if self.fast is None or long_run or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
