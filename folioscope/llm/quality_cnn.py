@@ -8,8 +8,11 @@ follows, each of these is max-pooled over the document's chunks, and a logistic
 unit combines the maxima into one probability.
 
 The network is trained on the driver with Adam, on a sample of labelled rows
-bounded by SAMPLE_PER_CLASS rows a class and SAMPLE_BYTES bytes a text; rows
-whose crc32(doc_id as text) mod 4 is 2 are never used. It reads the text alone.
+bounded by SAMPLE_PER_CLASS rows a class; a text of more than STRETCHES times
+STRETCH characters is trained on by so many stretches, evenly spaced from its
+start to its end. Rows whose crc32(doc_id as text) mod 4 is 2 are never used. It
+reads the text alone. A document is scored in pieces of PIECE blocks, of whose
+chunks the running maxima are kept, so memory does not grow with its length.
 
 Defined cases: a null text is an empty one and gets the score of a document
 without chunks of text; a null doc_id is not held out and can have no label; a
@@ -29,11 +32,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from folioscope.llm.common import byte_rows, slices
 
 SAMPLE_PER_CLASS = 600
-SAMPLE_BYTES = 16384
+STRETCHES, STRETCH = 8, 2048
 THRESHOLD = 0.7
 BLOCK, STRIDE, EMBED, FILTERS, CHUNK_FILTERS = 128, 4, 8, 32, 16
 EPOCHS, BATCH_DOCS, RATE = 14, 32, 4e-3
 SLICE = 1 << 20
+#: Blocks of a long document that are scored at once.
+PIECE = 1 << 13
 
 Params = dict[str, np.ndarray]
 
@@ -61,8 +66,8 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return padded.reshape(-1, BLOCK), first, live
 
 
-def forward(p: Params, blocks: np.ndarray, first: np.ndarray, live: np.ndarray, keep: bool = False):
-    """Logits of the rows; with ``keep`` also what the backward pass needs."""
+def units_of(p: Params, blocks: np.ndarray, first: np.ndarray, live: np.ndarray):
+    """(quads, responses, followers, chunks, chunk filters) of the blocks of rows."""
     n = len(blocks)
     quads = p["embed"][blocks].reshape(n, BLOCK // STRIDE, STRIDE * EMBED)
     response = quads[:, :-1] @ p["left"] + quads[:, 1:] @ p["right"] + p["bias"]
@@ -71,7 +76,12 @@ def forward(p: Params, blocks: np.ndarray, first: np.ndarray, live: np.ndarray,
     mean = response.sum(1) / np.maximum(live, 1)[:, None].astype(np.float32)
     follower = np.minimum(np.arange(n) + 1, np.repeat(first[1:] - 1, np.diff(first)))
     chunk = 0.5 * (mean + mean[follower])
-    unit = np.tanh(chunk @ p["chunk"] + p["chunk_bias"])
+    return quads, response, follower, chunk, np.tanh(chunk @ p["chunk"] + p["chunk_bias"])
+
+
+def forward(p: Params, blocks: np.ndarray, first: np.ndarray, live: np.ndarray, keep: bool = False):
+    """Logits of the rows; with ``keep`` also what the backward pass needs."""
+    quads, response, follower, chunk, unit = units_of(p, blocks, first, live)
     pooled = np.maximum.reduceat(unit, first[:-1], axis=0)
     logit = pooled @ p["out"] + p["out_bias"][0]
     return (logit, (quads, response, follower, chunk, unit, pooled)) if keep else logit
@@ -130,6 +140,18 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     return p
 
 
+def long_logit(p: Params, data: np.ndarray) -> float:
+    """Logit of one document, piece by piece."""
+    best = np.full(CHUNK_FILTERS, -np.inf)
+    count = max(1, -(-len(data) // BLOCK))
+    for low in range(0, count, PIECE):
+        high = min(count, low + PIECE)
+        part = data[low * BLOCK : (high + 1) * BLOCK]  # with the block that the last chunk overlaps
+        unit = units_of(p, *blocks_of(part, np.array([0, len(part)])))[-1]
+        best = np.maximum(best, unit[: high - low].max(0))
+    return float(best @ p["out"] + p["out_bias"][0])
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -151,10 +173,13 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], li
     if not ids:
         return [], []
     small = docs.sparkSession.createDataFrame(ids, "l_id long, quality int")
+    step = (F.char_length("text") - STRETCH) / (STRETCHES - 1)
+    spaced = F.concat(*(F.substr(F.col("text"), (step * i).cast("int") + 1, F.lit(STRETCH)) for i in range(STRETCHES)))
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(small), F.col("doc_id") == F.col("l_id"))  # 2 * SAMPLE_PER_CLASS rows at most
-        .filter(F.octet_length("text") <= SAMPLE_BYTES)
+        .filter("text IS NOT NULL")
+        .withColumn("text", F.when(F.char_length("text") > STRETCHES * STRETCH, spaced).otherwise(F.col("text")))
         .groupBy("l_id")
         .agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
         .collect()
@@ -168,6 +193,8 @@ def score_rows(p: Params | None, column: pa.Array) -> np.ndarray:
     data, offsets = byte_rows(column)
     if p is None or len(offsets) == 1:
         return np.full(len(offsets) - 1, 0.5)
+    if len(offsets) == 2 and offsets[-1] > PIECE * BLOCK:
+        return 1 / (1 + np.exp(-np.array([long_logit(p, data)], np.float64)))
     return 1 / (1 + np.exp(-forward(p, *blocks_of(data, offsets)).astype(np.float64)))
 
 
