@@ -54,12 +54,12 @@ def eager_shuffle_cleanup(spark: SparkSession):
             spark.conf.set(_CLEANUP, old)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", row_group: int = 128 << 20) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with eager_shuffle_cleanup(spark):
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
