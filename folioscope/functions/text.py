@@ -15,6 +15,8 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 #: Words that stay small in titles (fixed values).
 SMALL_WORDS = ["of", "the", "and", "in", "to", "a", "an", "vs", "from", "with", "on", "at", "by", "for", "or", "into", "your"]
 CRUMB = "›"
+#: Runs of ASCII letters and digits in lower case.
+TOKEN = "[a-z0-9]+"
 
 
 def trim_all(c: Column) -> Column:
@@ -47,7 +49,14 @@ def stem(token: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Stemmed runs of ASCII letters and digits, in lower case."""
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), stem)
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0)), stem)
+
+
+def spellings(term: Column) -> Column:
+    """All tokens that may fold to a term, and a few that don't: its plurals and the known spellings."""
+    plural = F.concat(term.substr(F.lit(1), F.length(term) - 1), F.lit("ies"))
+    forms = F.array(term, F.concat(term, F.lit("s")), F.concat(term, F.lit("es")), plural, *map(F.lit, EQUIVALENT))
+    return F.array_distinct(forms)
 
 
 def name_score(query_tokens: Column, name_tokens: Column) -> Column:

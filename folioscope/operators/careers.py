@@ -52,22 +52,53 @@ def card_sections(cards: DataFrame) -> DataFrame:
 
 
 def owned_tables(anchors: DataFrame, tables: DataFrame, keep: int = SECTIONS_KEPT) -> DataFrame:
-    """Each anchor (key, name, page) owns the tables (key, page, ord) up to the next anchor's page; an interval join within key.
+    """Each anchor (key, name, page) owns the tables (key, page, ord) up to the next anchor's page; the last one its own and the next page.
 
-    The interval becomes the pages it covers, so the join is an equi-join on
-    (key, page) and no pair of ranges is compared.
+    One pass in the order of pages carries the last anchor forward, so neither
+    ranges nor pages are multiplied; of anchors on one page the last name owns.
     """
-    nxt = F.coalesce(F.lead("page").over(Window.partitionBy("key").orderBy("page", "name")), F.col("page") + LAST_PAGES)
-    spans = anchors.withColumn("upto", nxt).filter("upto > page")
-    pages = spans.select("key", "name", F.col("page").alias("start"), F.explode(F.sequence(F.col("page"), F.col("upto") - 1)).alias("page"))
+    here = F.struct("page", "name")
+    marks = anchors.select("key", "page", "name", F.lit(0).alias("_kind"))
+    both = marks.unionByName(tables.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    anchor = F.when(F.col("_kind") == 0, here)
+    so_far = Window.partitionBy("key").orderBy("page", "_kind", "name").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_owner", F.last(anchor, ignorenulls=True).over(so_far)).withColumn("_final", F.max(anchor).over(Window.partitionBy("key")))
+    inside = (F.col("_owner") != F.col("_final")) | (F.col("page") < F.col("_owner.page") + LAST_PAGES)
+    owned = both.filter((F.col("_kind") == 1) & F.col("_owner").isNotNull() & inside).withColumn("name", F.col("_owner.name")).withColumn("start", F.col("_owner.page"))
     order = Window.partitionBy("key", "name", "start").orderBy("page", "ord")
-    return tables.join(pages, ["key", "page"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
+    return owned.drop("_kind", "_owner", "_final").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
 
 
 def graft(cards: DataFrame, siblings: DataFrame) -> DataFrame:
-    """Each card (key, width, id) with the first sibling of its key and width that is not itself."""
-    pairs = cards.join(siblings.select("key", "width", F.col("id").alias("sib")), ["key", "width"], "left")
-    return pairs.groupBy("key", "width", "id").agg(F.min(F.when(F.col("sib") != F.col("id"), F.col("sib"))).alias("sibling"))
+    """Each card (key, width, id) with the first sibling of its key and width that is not itself: one of the two smallest."""
+    place = F.row_number().over(Window.partitionBy("key", "width").orderBy("id"))
+    two = siblings.select("key", "width", "id").distinct().withColumn("_r", place).filter("_r <= 2")
+    two = two.groupBy("key", "width").agg(F.min("id").alias("_one"), F.max("id").alias("_two"))
+    other = F.when(F.col("_one") != F.col("id"), F.col("_one")).when(F.col("_two") != F.col("id"), F.col("_two"))
+    return cards.join(two, ["key", "width"], "left").select("key", "width", "id", other.alias("sibling"))
+
+
+def typed_columns(rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Per career the value of the first row (career, ord, label, ...) whose label has a word, for each wanted name: (word, column); careers that lack one go."""
+    first = [F.min_by(column, F.when(F.col("label").contains(word), F.col("ord"))).alias(name) for name, (word, column) in wanted.items()]
+    there = [F.max(F.col("label").contains(word)).alias(f"_has_{name}") for name, (word, _) in wanted.items()]
+    out = rows.groupBy("career").agg(*first, *there)
+    for name in wanted:
+        out = out.filter(F.col(f"_has_{name}"))
+    return out.select("career", *wanted)
+
+
+#: Header of the table of ranks (fixed values): level, then a column for each side.
+RANK_HEADER = ["Level", "US", "Soviet", "Local"]
+
+
+def rank_names(tables: DataFrame, side: str) -> DataFrame:
+    """level, rank of the first table (ord, rows) with the header of ranks; a side's blank cells take the first side's name."""
+    header = F.array(*map(F.lit, RANK_HEADER))
+    first = tables.filter(F.get("rows", F.lit(0)) == header).orderBy("ord").limit(1)
+    rows = first.select(F.explode(F.slice("rows", F.lit(2), F.size("rows"))).alias("r"))
+    own = F.nullif(F.get("r", F.lit(RANK_HEADER.index(side))), F.lit(""))
+    return rows.select(F.get("r", F.lit(0)).cast("int").alias("level"), F.coalesce(own, F.get("r", F.lit(1))).alias("rank"))
 
 
 def merge_sections(sections: DataFrame) -> DataFrame:

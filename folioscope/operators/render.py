@@ -21,6 +21,12 @@ def fit_widths(natural: list[int], budget: int) -> list[int]:
     return [min(n, cap) for n in natural]
 
 
+def fit_width(natural: Column, budget: Column, most: int = 60) -> Column:
+    """The largest common cap with which columns of the natural widths (an array) fit the budget; null if not even the least does."""
+    fits = F.filter(F.sequence(F.lit(LEAST_COLUMN), F.lit(most)), lambda cap: F.aggregate(natural, F.lit(0), lambda total, x: total + F.least(x, cap)) <= budget)
+    return F.array_max(fits)
+
+
 def render_rows(rows: list[list[str]], budget: int = BUDGET) -> str:
     """Aligned columns with a rule under the header, or one record a row where three or more columns are too wide."""
     count = max(map(len, rows), default=0)

@@ -19,20 +19,24 @@ def index(chunks: DataFrame, terms: DataFrame | None = None) -> dict[str, DataFr
     """postings (term, chunk_id, tf, dl, in_heading), term_stats (term, df) and corpus (n, avg_len).
 
     chunks: chunk_id, section, text. The section's tokens are indexed with the
-    text. With ``terms`` (term) only their postings and frequencies are made,
-    which spares the shuffle of all others; the corpus is counted in full.
+    text. With ``terms`` (term) only their postings and frequencies are made:
+    the texts' words are held against the few spellings that fold to a term
+    before any is folded. The corpus is counted in full.
     """
-    head = F.when(F.coalesce(F.col("section"), F.lit("")) == "", F.lit("")).otherwise(F.concat(F.col("section"), F.lit(" ")))
-    rows = chunks.select("chunk_id", T.tokenize(F.concat(head, F.coalesce("text", F.lit("")))).alias("tokens"), T.tokenize(F.col("section")).alias("heading"))
-    tokens = rows.select("chunk_id", F.size("tokens").alias("dl"), "heading", F.explode("tokens").alias("term"))
-    if terms is not None:
-        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = (
-        tokens.groupBy("term", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max(F.array_contains("heading", F.col("term"))).alias("in_heading"))
-    )
+    section = F.coalesce(F.col("section"), F.lit(""))
+    whole = F.lower(F.concat_ws(" ", F.nullif(section, F.lit("")), F.coalesce("text", F.lit(""))))
+    rows = chunks.select("chunk_id", whole.alias("whole"), T.tokenize(section).alias("heading"))
+    spelled = rows.select("chunk_id", "heading", F.regexp_extract_all("whole", F.lit(T.TOKEN), F.lit(0)).alias("raw")).withColumn("dl", F.size("raw"))
+    tokens = spelled.select("chunk_id", "dl", "heading", F.explode("raw").alias("raw"))
+    if terms is None:
+        tokens = tokens.groupBy("chunk_id", "raw").agg(F.count(F.lit(1)).alias("times"), F.max("dl").alias("dl"), F.first("heading").alias("heading")).withColumn("term", T.stem(F.col("raw")))
+    else:
+        forms = terms.select("term").distinct().select("term", F.explode(T.spellings(F.col("term"))).alias("raw")).filter(T.stem(F.col("raw")) == F.col("term"))
+        tokens = tokens.join(forms, "raw").withColumn("times", F.lit(1))
+    postings = tokens.groupBy("term", "chunk_id").agg(F.sum("times").alias("tf"), F.max("dl").alias("dl"), F.max(F.array_contains("heading", F.col("term"))).alias("in_heading"))
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")) / F.count(F.lit(1)), F.lit(0.0)).alias("avg_len"))
+    length = F.regexp_count("whole", F.lit(T.TOKEN))
+    corpus = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(length) / F.count(F.lit(1)), F.lit(0.0)).alias("avg_len"))
     return {"postings": postings, "term_stats": stats, "corpus": corpus}
 
 

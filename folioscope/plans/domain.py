@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import domain as D
 from folioscope.operators import grids as G
+from folioscope.operators.render import fit_width, render
 from folioscope.plans.base import Rows, query, table
 
 ROLLS = Rows("id int, expr string, a array<int>, b array<int>", [(1, "2d6+1", [3, 4], None), (2, "d20", [17], None), (3, " 3d8 - 2 ", [1, 8, 8], None), (4, "2d6 + 1d8 - 1d4", [6, 6], [2]), (5, "", [], None), (6, "2x6", [], None), (7, "101d6", [], None), (8, "d1", [], None), (9, "5", [], None), (10, "0", [], None)])
@@ -232,11 +233,11 @@ def replay_sessions(spark, d):
 
 
 # ------------------------------------------------------------------ V
-@query("V1_fit_widths", "SELECT p_brand, (SELECT max(w) FROM range(3, 61) t(w) WHERE (SELECT sum(least(x, w)) FROM (SELECT unnest(nat) AS x)) <= 200) AS cap FROM (SELECT p_brand, list(p_size) AS nat FROM part WHERE p_partkey % 40 = 0 GROUP BY p_brand)")
+@query("V1_fit_widths", "SELECT grid, (SELECT max(w) FROM range(3, 61) t(w) WHERE (SELECT sum(least(x, w)) FROM (SELECT unnest(nat) AS x)) <= 100) AS cap FROM (SELECT p_partkey // 8 AS grid, list(p_size) AS nat FROM part GROUP BY grid)")
 def fit_widths(spark, d):
-    rows = table(spark, d, "part").filter("p_partkey % 40 = 0").groupBy("p_brand").agg(F.collect_list("p_size").alias("nat"))
-    fits = F.filter(F.sequence(F.lit(3), F.lit(60)), lambda w: F.aggregate("nat", F.lit(0), lambda a, x: a + F.least(x, w)) <= 200)
-    return rows.select("p_brand", F.array_max(fits).cast("long").alias("cap"))
+    # eight neighbouring parts stand for the columns of a grid, their sizes for natural widths
+    rows = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 8).alias("grid")).agg(F.collect_list("p_size").alias("nat"))
+    return rows.select("grid", fit_width(F.col("nat"), F.lit(100)).cast("long").alias("cap"))
 
 
 RENDERED = Rows("id int, rows array<array<string>>, want string", [
@@ -248,8 +249,6 @@ RENDERED = Rows("id int, rows array<array<string>>, want string", [
 
 @query("V2_render_table", f"SELECT id, want AS text FROM {RENDERED.sql}")
 def render_table(spark, d):
-    from folioscope.operators.render import render
-
     return RENDERED.df(spark).select("id", render(F.col("rows")).alias("text"))
 
 

@@ -72,9 +72,9 @@ def _ladder(*columns: str) -> str:
 _CHARGEN = P.CHARGEN
 
 
-@query("P1_category", f"SELECT id, CASE WHEN regexp_matches(chapter, '{_CHARGEN}') OR regexp_matches(book, '{_CHARGEN}') THEN 'rules' {_ladder('section', 'chapter', 'book')} ELSE 'rules' END AS category FROM {HEADINGS.sql} UNION ALL SELECT doc_id + 100, CASE {_ladder('left(text, 200)')} ELSE 'rules' END FROM documents")
+@query("P1_category", f"SELECT id, CASE WHEN regexp_matches(chapter, '{_CHARGEN}') OR regexp_matches(book, '{_CHARGEN}') THEN 'rules' {_ladder('section', 'chapter', 'book')} ELSE 'rules' END AS category FROM {HEADINGS.sql} UNION ALL SELECT doc_id + 100, CASE {_ladder('text')} ELSE 'rules' END FROM documents")
 def category(spark, d):
-    docs = table(spark, d, "documents").select((F.col("doc_id") + 100).alias("id"), P.category(F.lit(""), F.lit(""), F.left("text", F.lit(200))).alias("category"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") + 100).alias("id"), P.category(F.lit(""), F.lit(""), F.col("text")).alias("category"))
     return HEADINGS.df(spark).select(F.col("id").cast("long"), P.category(F.col("book"), F.col("chapter"), F.col("section")).alias("category")).unionByName(docs)
 
 

@@ -6,24 +6,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import careers as K
+from folioscope.operators import joins as J
 from folioscope.plans.base import Rows, query, table
 
-CELLS_SQL = "(SELECT p_partkey AS id, p_brand AS key, p_size % 3 = 0 AS md, [upper(p_name), p_type, CAST(p_size AS VARCHAR)] AS cells FROM part WHERE p_partkey < 1000)"
+CELLS_SQL = "(SELECT p_partkey AS id, p_brand AS key, p_size % 3 = 0 AS md, [upper(p_name), p_type, CAST(p_size AS VARCHAR)] AS cells FROM part)"
 
 
 def _cells(spark, d):
     cells = F.array(F.upper("p_name"), "p_type", F.col("p_size").cast("string"))
-    return table(spark, d, "part").filter("p_partkey < 1000").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("key"), (F.col("p_size") % 3 == 0).alias("md"), cells.alias("cells"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("key"), (F.col("p_size") % 3 == 0).alias("md"), cells.alias("cells"))
 
 
 @query("J3_anti_overlap", f"SELECT id FROM {CELLS_SQL} a WHERE NOT md AND NOT EXISTS (SELECT 1 FROM {CELLS_SQL} b WHERE b.md AND b.key = a.key AND 2 * len(list_intersect(a.cells, b.cells)) >= len(a.cells))")
 def anti_overlap(spark, d):
     rows = _cells(spark, d)
-    left, right = rows.filter("NOT md").alias("a"), rows.filter("md").alias("b")
-    # half of three cells or more means two: pairs that share a cell are the only candidates
-    shared = left.select("id", "key", F.explode(F.array_distinct("cells")).alias("c")).join(right.select(F.col("id").alias("other"), "key", F.explode(F.array_distinct("cells")).alias("c")), ["key", "c"])
-    subsumed = shared.groupBy("id", "other").count().filter("2 * count >= 3").select("id").distinct()
-    return left.select("id").join(subsumed, "id", "left_anti")
+    return J.anti_overlap(rows.filter("NOT md"), rows.filter("md"))
 
 
 ANCHORS_SQL = "(SELECT o_custkey AS key, o_orderkey AS name, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS page FROM orders)"
@@ -57,8 +54,9 @@ def asof(spark, d):
 
 @query("J7_first_heading", "SELECT l.l_orderkey, l.l_linenumber, h.name FROM lineitem l JOIN (SELECT p_size AS page, arg_min(p_name, p_partkey) AS name FROM part GROUP BY p_size) h ON h.page = CAST(l.l_quantity AS INTEGER)")
 def first_heading(spark, d):
-    heads = table(spark, d, "part").groupBy(F.col("p_size").alias("page")).agg(F.min_by("p_name", "p_partkey").alias("name"))
-    return table(spark, d, "lineitem").join(heads, F.col("l_quantity").cast("int") == F.col("page")).select("l_orderkey", "l_linenumber", "name")
+    heads = table(spark, d, "part").select(F.col("p_size").alias("page"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("page"))
+    return J.first_on_page(rows, heads).select("l_orderkey", "l_linenumber", "name")
 
 
 CHILD = Rows("page int, ord int, rows array<array<string>>", [(5, 1, [["", "A", "B"], ["1", "x", "y"]]), (5, 2, [["", "A", "B", "C"], ["1", "p", "q", "r"], ["2", "s", "t", "u"]]), (6, 1, [["", "A", "B", "C"], ["1", "n", "o", "p"]])])
@@ -71,11 +69,10 @@ def column_alignment(spark, d):
     return data.filter("col > 0")
 
 
-@query("J9_replace_on_pages", "SELECT l_orderkey AS k, 'old' AS side FROM lineitem WHERE l_linenumber = 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderstatus = 'F'")
+@query("J9_replace_on_pages", "SELECT l_orderkey AS k, l_linenumber AS line, 'old' AS side FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT o_orderkey, 0, 'new' FROM orders WHERE o_orderstatus = 'F'")
 def replace_on_pages(spark, d):
-    new = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"))
-    old = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k")).join(new, "k", "left_anti")
-    return old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
+    new = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("line"))
+    return J.replace_by_key(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("line")), new, ["k"])
 
 
 GOLD = Rows("gold int, cells array<string>, page int", [(1, ["small", "ring"], 3), (2, ["red", "widget"], 40), (3, ["nothing"], 1)])
@@ -83,11 +80,8 @@ GOLD = Rows("gold int, cells array<string>, page int", [(1, ["small", "ring"], 3
 
 @query("J11_gold_containment", f"SELECT gold, p_partkey FROM (SELECT gold, p_partkey, row_number() OVER (PARTITION BY gold ORDER BY p_size = page DESC, p_partkey) AS r FROM {GOLD.sql}, part WHERE len(list_filter(cells, lambda c: list_contains(string_split(p_name, ' '), c))) = len(cells)) WHERE r = 1")
 def gold_containment(spark, d):
-    wanted = GOLD.df(spark).select("gold", "page", F.size("cells").alias("n"), F.explode("cells").alias("c"))
-    cells = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.array_distinct(F.split("p_name", " "))).alias("c"))
-    full = wanted.join(cells, "c").groupBy("gold", "page", "n", "p_partkey", "p_size").count().filter("count = n")
-    w = Window.partitionBy("gold").orderBy(F.desc(F.col("p_size") == F.col("page")), "p_partkey")
-    return full.withColumn("r", F.row_number().over(w)).filter("r = 1").select("gold", "p_partkey")
+    cells = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("cells"), F.col("p_size").alias("page"))
+    return J.contained_best(GOLD.df(spark).withColumnRenamed("gold", "wanted"), cells).select(F.col("wanted").alias("gold"), F.col("id").alias("p_partkey"))
 
 
 LABELS = Rows("label string", [("src1 en",), ("de only",), ("nothing here",)])
@@ -95,10 +89,8 @@ LABELS = Rows("label string", [("src1 en",), ("de only",), ("nothing here",)])
 
 @query("J12_label_match", f"SELECT label, coalesce(arg_max(game, n * 1000 - ord) FILTER (WHERE n > 0), 'none') AS game FROM (SELECT label, g.game, g.ord, len(list_intersect(string_split(label, ' '), [g.game])) AS n FROM {LABELS.sql}, (SELECT lang AS game, row_number() OVER (ORDER BY lang) AS ord FROM (SELECT DISTINCT lang FROM documents)) g) GROUP BY label")
 def label_match(spark, d):
-    games = table(spark, d, "documents").select(F.col("lang").alias("game")).distinct()
-    words = LABELS.df(spark).select("label", F.explode(F.split("label", " ")).alias("game"))
-    best = words.join(games, "game").groupBy("label", "game").count().groupBy("label").agg(F.min_by("game", F.struct(-F.col("count"), "game")).alias("game"))
-    return LABELS.df(spark).join(best, "label", "left").select("label", F.coalesce("game", F.lit("none")).alias("game"))
+    games = table(spark, d, "documents").select(F.col("lang").alias("name"))
+    return J.best_label(LABELS.df(spark), games, "none").withColumnRenamed("name", "game")
 
 
 BRACKETS = Rows("upto int, tons int", [(10, 1), (20, 3), (40, 6)])
@@ -106,17 +98,14 @@ BRACKETS = Rows("upto int, tons int", [(10, 1), (20, 3), (40, 6)])
 
 @query("J13_bracket", f"SELECT p_partkey, coalesce((SELECT arg_min(tons, upto) FROM {BRACKETS.sql} WHERE upto >= p_size), 6) AS tons FROM part")
 def bracket(spark, d):
-    b = BRACKETS.df(spark).agg(F.array_sort(F.collect_list(F.struct("upto", "tons"))).alias("b"))  # a handful of brackets in one row
-    fit = F.get(F.filter("b", lambda x: x["upto"] >= F.col("p_size")), F.lit(0))
-    return table(spark, d, "part").crossJoin(F.broadcast(b)).select("p_partkey", F.coalesce(fit["tons"], F.element_at("b", -1)["tons"]).alias("tons"))
+    return J.bracket(table(spark, d, "part"), F.col("p_size"), BRACKETS.rows, "tons").select("p_partkey", "tons")
 
 
 @query("J14_first_by_name", "SELECT l.l_orderkey, l.l_linenumber, f.p_partkey FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN (SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY p_name) f ON f.p_name = p.p_name")
 def first_by_name(spark, d):
-    part = table(spark, d, "part")
-    first = part.groupBy("p_name").agg(F.min("p_partkey").alias("first"))
-    named = part.select("p_partkey", "p_name").join(first, "p_name").select(F.col("p_partkey").alias("k"), F.col("first").alias("p_partkey"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(named, F.col("l_partkey") == F.col("k")).select("l_orderkey", "l_linenumber", "p_partkey")
+    named = J.first_by_name(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return lines.join(named, F.col("l_partkey") == F.col("id")).select("l_orderkey", "l_linenumber", F.col("first").alias("p_partkey"))
 
 
 @query("J15_merge_sections", "SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_custkey, lower(o_orderpriority) ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -127,17 +116,14 @@ def merge_sections(spark, d):
 
 @query("J17_history", "SELECT c_custkey, count(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS served, coalesce(max(o_orderpriority), '') AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def history(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("served"), F.max("o_orderpriority").alias("last"))
-    joined = table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.select("c_custkey", F.coalesce("served", F.lit(0)).alias("served"), F.coalesce("last", F.lit("")).alias("last"))
+    terms = table(spark, d, "orders").select(F.col("o_custkey").alias("person"), (F.col("o_orderstatus") == "F").alias("counts"), F.col("o_orderpriority").alias("rank"))
+    return J.with_history(table(spark, d, "customer").select(F.col("c_custkey").alias("person")), terms).withColumnRenamed("person", "c_custkey")
 
 
 @query("J18_chrome_fonts", "SELECT p_partkey FROM part WHERE p_brand NOT IN (SELECT DISTINCT p_brand FROM part WHERE lower(p_name) IN (SELECT DISTINCT lower(p_name) FROM part WHERE p_type = 'PROMO' AND p_size < 3))")
 def chrome_fonts(spark, d):
-    part = table(spark, d, "part")
-    titles = part.filter("p_type = 'PROMO' AND p_size < 3").select(F.lower("p_name").alias("t")).distinct()
-    chrome = part.join(titles, F.lower("p_name") == F.col("t"), "left_semi").select("p_brand").distinct()
-    return part.join(chrome, "p_brand", "left_anti").select("p_partkey")
+    spans = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("font"), F.col("p_name").alias("text"), "p_type", "p_size")
+    return J.without_chrome(spans, spans.filter("p_type = 'PROMO' AND p_size < 3").select("text")).select("p_partkey")
 
 
 # ------------------------------------------------------------------ K
@@ -160,18 +146,17 @@ def detect_careers(spark, d):
     return K.merge_sections(twice).groupBy("game", "name").agg(F.count("*").cast("int").alias("sections"))
 
 
-@query("K3_numbered_sections", f"SELECT key, name, ord, CASE WHEN n = 1 THEN 'Skills' ELSE 'Skills (' || n || ')' END AS label FROM (SELECT t.key, a.name, t.ord, row_number() OVER (PARTITION BY t.key, a.name, a.page ORDER BY t.page, t.ord) AS n FROM (SELECT *, coalesce(lead(page) OVER (PARTITION BY key ORDER BY page, name), page + 2) AS upto FROM {ANCHORS_SQL}) a JOIN {TABLES_SQL} t ON t.key = a.key AND t.page >= a.page AND t.page < a.upto) WHERE n <= 3")
+@query("K3_numbered_sections", f"SELECT key, name, ord, CASE WHEN n = 1 THEN 'Skills' ELSE 'Skills (' || n || ')' END AS label FROM (SELECT t.key, a.name, t.ord, row_number() OVER (PARTITION BY t.key, a.name, a.page ORDER BY t.page, t.ord) AS n FROM (SELECT *, coalesce(lead(page) OVER (PARTITION BY key ORDER BY page, name), page + 2) AS upto FROM {ANCHORS_SQL}) a JOIN {TABLES_SQL} t ON t.key = a.key AND t.page >= a.page AND t.page < a.upto) WHERE n <= 8")
 def numbered_sections(spark, d):
-    owned = interval_owner(spark, d).filter("n <= 3")
+    owned = interval_owner(spark, d)
     return owned.select("key", "name", "ord", F.when(F.col("n") == 1, "Skills").otherwise(F.concat(F.lit("Skills ("), "n", F.lit(")"))).alias("label"))
 
 
 @query("K4_typed_columns", "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_orderpriority LIKE '%HIGH%') AS skills, arg_min(o_orderstatus, o_orderkey) FILTER (WHERE o_orderpriority LIKE '%LOW%') AS gear FROM orders GROUP BY o_custkey HAVING skills IS NOT NULL AND gear IS NOT NULL")
 def typed_columns(spark, d):
-    first = lambda c, needle: F.min_by(c, F.when(F.col("o_orderpriority").contains(needle), F.col("o_orderkey")))
-    hit = lambda needle: F.max(F.col("o_orderpriority").contains(needle))
-    rows = table(spark, d, "orders").groupBy("o_custkey").agg(first("o_orderpriority", "HIGH").alias("skills"), first("o_orderstatus", "LOW").alias("gear"), hit("HIGH").alias("a"), hit("LOW").alias("b"))
-    return rows.filter("a AND b").select("o_custkey", "skills", "gear")
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("career"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("label"), "o_orderstatus")
+    found = K.typed_columns(rows, {"skills": ("HIGH", "label"), "gear": ("LOW", "o_orderstatus")})
+    return found.withColumnRenamed("career", "o_custkey")
 
 
 RANK_TABLE = Rows("ord int, rows array<array<string>>", [(1, [["x", "y"]]), (2, [["Level", "US", "Soviet", "Local"], ["1", "Private", "Ryadovoi", ""], ["2", "Corporal", "Yefreitor", "Kapral"]])])
@@ -179,9 +164,7 @@ RANK_TABLE = Rows("ord int, rows array<array<string>>", [(1, [["x", "y"]]), (2,
 
 @query("K5_rank_names", "SELECT * FROM (VALUES (1, 'Private'), (2, 'Kapral')) v(level, rank)")
 def rank_names(spark, d):
-    table_ = RANK_TABLE.df(spark).filter(F.get("rows", F.lit(0)) == F.array(*map(F.lit, ["Level", "US", "Soviet", "Local"]))).orderBy("ord").limit(1)
-    rows = table_.select(F.explode(F.slice("rows", 2, 1000)).alias("r"))
-    return rows.select(F.get("r", F.lit(0)).cast("int").alias("level"), F.coalesce(F.nullif(F.get("r", F.lit(3)), F.lit("")), F.get("r", F.lit(1))).alias("rank"))
+    return K.rank_names(RANK_TABLE.df(spark), "Local")
 
 
 HITS = Rows("chunk_id int, section string, locator string, text string, score double", [(1, "A › Baker", "p. 1", "baker term  and rank", 2.0), (2, "B", "p. 2", "the baker cooks", 9.0), (3, "A › Baker", "p. 1", "baker again", 5.0), (4, "C", "p. 3", "nothing", 99.0)])
@@ -200,8 +183,10 @@ def find_career(spark, d):
 
 @query("A10_upper_median", "SELECT l_suppkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS med FROM lineitem GROUP BY l_suppkey")
 def upper_median(spark, d):
-    values = F.sort_array(F.collect_list("l_quantity"))
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.get(values, (F.size(values) / 2).cast("int")).alias("med"))
+    by = Window.partitionBy("l_suppkey")
+    place = F.row_number().over(by.orderBy("l_quantity"))
+    ranked = table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("med"), place.alias("r"), F.count("l_quantity").over(by).alias("n"))
+    return ranked.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select("l_suppkey", "med")
 
 
 @query("A9_having_gates", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) > 40")

@@ -41,10 +41,10 @@ def staleness(spark, d):
     return L.staleness(_listing(spark, d), _cache(spark, d))
 
 
-@query("S11_incremental", f"SELECT file_id, CASE WHEN fresh THEN 'cached ' || file_id ELSE left(text, 40) END AS text FROM (SELECT l.*, coalesce(l.modified_time = c.modified_time AND mdv = '1', false) AS fresh FROM {LISTING_SQL} l LEFT JOIN {CACHE_SQL} c USING (file_id)) WHERE trim(text) <> ''")
+@query("S11_incremental", f"SELECT file_id, CASE WHEN fresh THEN 'cached ' || file_id ELSE text END AS text FROM (SELECT l.*, coalesce(l.modified_time = c.modified_time AND mdv = '1', false) AS fresh FROM {LISTING_SQL} l LEFT JOIN {CACHE_SQL} c USING (file_id)) WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
 def incremental(spark, d):
     files = _listing(spark, d)
-    return L.refreshed(files, _cache(spark, d), files.select("file_id", F.left("text", F.lit(40)).alias("text")))
+    return L.refreshed(files, _cache(spark, d), files.select("file_id", "text"))
 
 
 @query("S10_manifest", f"SELECT '3' AS version, count(*) AS documents, string_agg(path, ',' ORDER BY path) AS files FROM {LISTING_SQL}")

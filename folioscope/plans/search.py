@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import evals as E
 from folioscope.operators import search as S
 from folioscope.plans.base import Rows, query, table
 from folioscope.plans.text import score_sql, tokens_sql
@@ -45,12 +46,11 @@ def topk(spark, d):
     return S.top_hits(S.bm25(S.index(chunks(spark, d), S.query_terms(asked)), asked), 10)
 
 
-ITEMS_SQL = "(SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:3], ' ') AS query FROM benchmark)"
+ITEMS_SQL = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def items(spark, d):
-    first = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 3)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(first, " ").alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("R2_bm25_multi", bm25_sql(ITEMS_SQL, 5, 0.4))
@@ -59,27 +59,32 @@ def multi(spark, d):
     return S.top_hits(S.bm25(S.index(chunks(spark, d), S.query_terms(asked)), asked), 5)
 
 
+def _asked_index(spark, c):
+    """The index of what QUESTIONS ask for."""
+    return S.index(c, S.query_terms(QUESTIONS.df(spark)))
+
+
 @query("R2_scoped", bm25_sql(QUESTIONS.sql, 5, 0.0, "game = 'en' AND source = 'src0'"))
 def scoped(spark, d):
     c = chunks(spark, d)
-    return S.top_hits(S.bm25(S.index(c), QUESTIONS.df(spark), S.in_scope(c, game="en", book="src0")), 5, 0.0)
+    return S.top_hits(S.bm25(_asked_index(spark, c), QUESTIONS.df(spark), S.in_scope(c, game="en", book="src0")), 5, 0.0)
 
 
 @query("R5_lookup", bm25_sql(QUESTIONS.sql, 12, 0.4, tail=f"SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, chunk_id, score FROM r JOIN {CHUNKS_SQL} k USING (chunk_id) WHERE rank <= 12 AND k.category <> 'reference' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8"))
 def lookup(spark, d):
     c = chunks(spark, d)
-    return S.lookup(S.top_hits(S.bm25(S.index(c), QUESTIONS.df(spark)), 12), c)
+    return S.lookup(S.top_hits(S.bm25(_asked_index(spark, c), QUESTIONS.df(spark)), 12), c)
 
 
 @query("R7_strict_cutoff", bm25_sql(QUESTIONS.sql, 8, 0.6, "category = 'tables'"))
 def strict(spark, d):
     c = chunks(spark, d)
-    return S.top_hits(S.bm25(S.index(c), QUESTIONS.df(spark), S.in_scope(c, categories=["tables"])), 8, 0.6)
+    return S.top_hits(S.bm25(_asked_index(spark, c), QUESTIONS.df(spark), S.in_scope(c, categories=["tables"])), 8, 0.6)
 
 
 @query("W9_relative_cutoff", bm25_sql(QUESTIONS.sql, 0, 0.9, tail="SELECT query_id, count(*) AS n FROM c GROUP BY query_id"))
 def relative(spark, d):
-    return S.top_hits(S.bm25(S.index(chunks(spark, d)), QUESTIONS.df(spark)), 1 << 30, 0.9).groupBy("query_id").agg(F.count("*").alias("n"))
+    return S.top_hits(S.bm25(_asked_index(spark, chunks(spark, d)), QUESTIONS.df(spark)), 1 << 30, 0.9).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("R1_index_stats", f"SELECT count(*) AS n, round(sum(len(t)) / count(*), 6) AS avg_len FROM (SELECT {tokens_sql(chr(115) + 'ection || chr(32) || text')} AS t FROM {CHUNKS_SQL})")
@@ -112,7 +117,7 @@ def term_freq(spark, d):
 
 @query("A5_score_sum", bm25_sql(QUESTIONS.sql, 0, 0.0, tail="SELECT query_id, count(*) AS hits, round(sum(score), 3) AS total FROM s GROUP BY query_id"))
 def score_sum(spark, d):
-    scores = S.bm25(S.index(chunks(spark, d)), QUESTIONS.df(spark)).withColumn("score", F.round("score", 6))
+    scores = S.bm25(_asked_index(spark, chunks(spark, d)), QUESTIONS.df(spark)).withColumn("score", F.round("score", 6))
     return scores.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 3).alias("total"))
 
 
@@ -145,22 +150,22 @@ def catalog_names(spark, d):
     return table(spark, d, "part").groupBy("p_type").agg(F.array_join(F.sort_array(F.collect_set("p_name")), "|").alias("names"))
 
 
-HITS_SQL = "(SELECT o_custkey % 50 AS query_id, o_orderpriority AS source, o_orderstatus AS leaf, round(o_totalprice / 1000000, 6) AS score, o_orderkey AS ord FROM orders WHERE o_orderkey % 2 = {p})"
+HITS_SQL = "(SELECT o_custkey % 50 AS query_id, o_orderpriority AS source, o_orderstatus AS leaf, round(o_totalprice / 1000000, 6) AS score, o_orderkey AS ord FROM orders)"
 
 
-def _hits(spark, d, parity):
-    o = table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == parity)
-    return o.select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("leaf"), F.round(F.col("o_totalprice") / 1000000, 6).alias("score"), F.col("o_orderkey").alias("ord"))
+def _hits(spark, d):
+    return table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("leaf"), F.round(F.col("o_totalprice") / 1000000, 6).alias("score"), F.col("o_orderkey").alias("ord"))
 
 
-@query("J16_merge_hits", f"SELECT query_id, source, leaf, score, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, lower(leaf) ORDER BY score DESC, f, ord) AS r FROM (SELECT *, 0 AS f FROM {HITS_SQL.format(p=0)} UNION ALL SELECT *, 1 AS f FROM {HITS_SQL.format(p=1)})) WHERE r = 1")
+@query("J16_merge_hits", f"SELECT query_id, source, leaf, score, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, lower(leaf) ORDER BY score DESC, f, ord) AS r FROM (SELECT *, ord % 2 AS f FROM {HITS_SQL})) WHERE r = 1")
 def merge_hits(spark, d):
-    return S.merge_hits(_hits(spark, d, 0), _hits(spark, d, 1))
+    hits = _hits(spark, d)  # even orders stand for direct hits, odd ones for exploded hits
+    return S.merge_hits(hits.filter("ord % 2 = 0"), hits.filter("ord % 2 = 1"))
 
 
-@query("R6_auto_select", f"SELECT query_id, count(*) FILTER (WHERE score >= 0.45) = 1 AS opens FROM {HITS_SQL.format(p=0)} GROUP BY query_id")
+@query("R6_auto_select", f"SELECT query_id, count(*) FILTER (WHERE score >= 0.45) = 1 AS opens FROM {HITS_SQL} GROUP BY query_id")
 def auto_select(spark, d):
-    return S.auto_select(_hits(spark, d, 0), 0.45)
+    return S.auto_select(_hits(spark, d), 0.45)
 
 
 @query("J1_term_postings", f"SELECT query_id, count(*) AS postings FROM (SELECT q.query_id FROM (SELECT query_id, unnest({tokens_sql('query')}) AS term FROM {QUESTIONS.sql}) q JOIN (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents)) p USING (term)) GROUP BY query_id")
@@ -182,12 +187,10 @@ def topk_stable(spark, d):
     return table(spark, d, "orders").withColumn("r", F.row_number().over(w)).filter("r <= 5").select("o_orderpriority", "o_orderkey", "r")
 
 
-@query("O2_signal_order", "SELECT chunk_id, CAST(row_number() OVER (ORDER BY (category = 'rules') DESC, length(text) DESC, chunk_id) AS INTEGER) AS pos FROM " + CHUNKS_SQL + " WHERE source = 'src1' QUALIFY pos <= 20")
+@query("O2_signal_order", "SELECT source, chunk_id, CAST(row_number() OVER (PARTITION BY source ORDER BY (category = 'rules') DESC, length(text) DESC, chunk_id) AS INTEGER) AS pos FROM " + CHUNKS_SQL + " QUALIFY pos <= 20")
 def signal_order(spark, d):
-    one = chunks(spark, d).filter("source = 'src1'")
-    top = one.select("chunk_id", (F.col("category") == "rules").alias("s"), F.length("text").alias("n")).orderBy(F.desc("s"), F.desc("n"), "chunk_id").limit(20)
-    w = Window.orderBy(F.desc("s"), F.desc("n"), "chunk_id")  # over the 20 rows that are left
-    return top.select("chunk_id", F.row_number().over(w).alias("pos"))
+    order = Window.partitionBy("source").orderBy(F.desc(F.col("category") == "rules"), F.desc(F.length("text")), "chunk_id")
+    return chunks(spark, d).withColumn("pos", F.row_number().over(order)).filter("pos <= 20").select("source", "chunk_id", "pos")
 
 
 @query("O3_ranked_first", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment = 'HOUSEHOLD', c_name) AS INTEGER) AS pos FROM customer")
@@ -241,11 +244,9 @@ def snapshot_diff(spark, d):
     return both.filter("before <> after")
 
 
-@query("A12_fingerprint", "SELECT lang, count(*) AS n, left(sha256(string_agg(doc_id || '|' || source, chr(10) ORDER BY doc_id || '|' || source)), 16) AS fp FROM documents GROUP BY lang")
+@query("A12_fingerprint", "SELECT lang, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(md5(doc_id || '|' || source), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fp FROM documents GROUP BY lang")
 def fingerprint(spark, d):
-    lines = F.sort_array(F.collect_list(F.concat_ws("|", "doc_id", "source")))
-    fp = F.left(F.sha2(F.array_join(lines, "\n"), 256), F.lit(16))
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), fp.alias("fp"))
+    return E.fingerprints(table(spark, d, "documents"), "lang", F.concat_ws("|", "doc_id", "source"))
 
 
 @query("A14_skill_vocabulary", "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS skill FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT lower(p_type) FROM part")
