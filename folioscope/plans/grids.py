@@ -36,9 +36,36 @@ def _expected(column: str = "want") -> str:
     return f"SELECT id, {column} AS out FROM {GRIDS.sql}"
 
 
-@query("P4_classify_table", _expected())
+#: Words that headers are drawn from, and chapters; a part's key, size and line choose among them.
+_HEADER = ["NAME", "WEAPON", "DAMAGE", "RANGE", "ROF", "AMMO", "REL", "CRIT", "BLAST", "CALIBER", "WEIGHT", "PRICE", "ARMOR", "ARMOUR", "LOCATION", "AC", "BULK", "DEX", "PROTECTION", "TL", "SHIELD", "HARDNESS", "FUEL", "SPEED", "VEHICLE", "COMBAT SPEED", "Career path", "Last Career", "SPECIALTY (D6)", "KEY ATTRIBUTE", "ATTRIBUTE", "Roll", "2d6", "D6", "7", "Professor", "x-rel y", "12"]
+_CHAPTERS = ["", "EQUIPMENT", "Vehicles", "Player Characters", "Combat"]
+_GRID_SQL = "(SELECT p_partkey AS id, " + f"[{', '.join(map(repr, _CHAPTERS))}][p_partkey % 5 + 1] AS chapter, [{', '.join(map(repr, _HEADER))}] AS w FROM part)"
+_TOP_SQL = f"(SELECT id, chapter, list_transform(range(0, CAST(id % 4 + 2 AS BIGINT)), lambda i: w[(id * (2 * i + 3) + i * 7) % {len(_HEADER)} + 1]) AS top, id // 7 % 4 AS more FROM {_GRID_SQL})"
+
+
+def _word_sql(*words: str) -> str:
+    return " AND ".join(f"regexp_matches(h, '\\b({w})\\b')" for w in words)
+
+
+@query("P4_classify_table", f"""SELECT id, CASE
+  WHEN len(list_filter(top, lambda c: regexp_matches(c, '[A-Za-z]'))) < 2 AND 1 + more < 3 THEN 'noise'
+  WHEN regexp_matches(trim(top[1]), '(?i)^(roll\\b|\\d*d\\d)') THEN 'rules'
+  WHEN h LIKE 'CAREER%' OR ({_word_sql('LAST', 'CAREER')}) OR contains(h, 'SPECIALTY (D6)') OR contains(h, 'KEY ATTRIBUTE') THEN 'card'
+  WHEN {_word_sql('VEHICLE')} OR contains(h, 'COMBAT SPEED') THEN 'transport'
+  WHEN {_word_sql('ROF')} OR ({_word_sql('AMMO', 'REL')}) OR ({_word_sql('DAMAGE', 'CRIT', 'BLAST')}) OR ({_word_sql('CALIBER', 'WEIGHT|PRICE')}) OR ({_word_sql('ARMOU?R', 'LOCATION')}) OR ({_word_sql('ARMOU?R', 'AC', 'BULK|DEX|PRICE')}) OR ({_word_sql('ARMOU?R', 'PROTECTION', 'TL')}) OR ({_word_sql('SHIELD', 'HARDNESS')}) OR ({_word_sql('WEAPON', 'DAMAGE|REL')}) THEN 'items'
+  WHEN {_word_sql('FUEL', 'ARMOU?R|SPEED')} THEN 'transport'
+  WHEN upper(chapter) LIKE '%PLAYER CHARACTERS%' AND len(top) >= 5 AND NOT ({' OR '.join(f"contains(h, '{m}')" for m in P.CARD_MARKERS)}) THEN 'card'
+  WHEN upper(chapter) = 'EQUIPMENT' THEN 'items' WHEN upper(chapter) = 'VEHICLES' THEN 'transport' ELSE 'rules' END AS out
+  FROM (SELECT *, upper(array_to_string(top, ' ')) AS h FROM {_TOP_SQL}) UNION ALL {_expected('want')}""")
 def classify_table(spark, d):
-    return GRIDS.df(spark).select("id", P.table_class(F.col("chapter"), F.col("rows"), ["EQUIPMENT"], ["VEHICLES"]).alias("out"))
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"))
+    words, chapters = F.array(*map(F.lit, _HEADER)), F.array(*map(F.lit, _CHAPTERS))
+    top = F.transform(F.sequence(F.lit(0).cast("long"), F.col("id") % 4 + 1), lambda i: F.get(words, ((F.col("id") * (2 * i + 3) + i * 7) % len(_HEADER)).cast("int")))
+    body = F.transform(F.sequence(F.lit(1).cast("long"), F.floor(F.col("id") / 7) % 4 + 1), lambda i: F.array(F.concat(F.lit("row "), i.cast("string")), F.lit("x")))
+    rows = F.concat(F.array(top), F.slice(body, F.lit(2), F.size(body) - 1))
+    drawn = part.select("id", F.get(chapters, (F.col("id") % 5).cast("int")).alias("chapter"), rows.alias("rows"))
+    both = drawn.unionByName(GRIDS.df(spark).select(F.col("id").cast("long").alias("id"), "chapter", "rows"))
+    return both.select("id", P.table_class(F.col("chapter"), F.col("rows"), ["EQUIPMENT"], ["VEHICLES"]).alias("out"))
 
 
 _COL0 = "list_filter(list_transform(rows, lambda r: lower(trim(coalesce(r[1], '')))), lambda c: c <> '')"
