@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import chargen as C
 from folioscope.operators import domain as D
 from folioscope.operators import grids as G
 from folioscope.operators.render import fit_width, render
@@ -139,73 +140,58 @@ def derived_stats(spark, d):
     return table(spark, d, "part").select("p_partkey", D.derived(a, b).alias("hit"))
 
 
-LIFE = "draft_id long, terms int, age int, war_term int, skills int"
+def _book(spark) -> C.Book:
+    """A small book of careers, childhoods, archetypes and ranks."""
+    careers = [
+        C.Career("Combat Arms", "STR or AGL C+", True, "Private", ["Ranged Combat", "Heavy Weapons", "Close Combat", "Driving"], ["Rifleman", "Gunner", "Ranger"], ["Rifle"]),
+        C.Career("Officer", "INT B+, At least one term in military", True, "Second Lieutenant", ["Ranged Combat", "Command", "Persuasion"], ["Leader", "Planner"], ["Pistol", "Map"]),
+        C.Career("Sciences", "INT C+", False, "", ["Tech", "Medical Aid", "Survival"], ["Physicist", "Chemist"], ["Notebook"]),
+        C.Career("Doctor", "Two terms in Education (Sciences)", False, "", ["Medical Aid", "Persuasion"], ["Surgeon"], ["Bag"]),
+        C.Career("Prison", "", False, "", ["Close Combat", "Mobility"], ["Brawler"], ["Knife"]),
+    ]
+    childhoods = {"City": (["Tech", "Persuasion"], {1: "Reader", 2: "Runner", 3: "Reader", 4: "Hacker", 5: "Runner"}), "Farm": (["Survival", "Driving"], {k: "Farmer" for k in range(1, 7)})}
+    archetypes = [C.Archetype("The Grunt", "STR", ["Ranged Combat", "Close Combat"], ["Rifleman", "Gunner"], "B"), C.Archetype("The Medic", "EMP", ["Medical Aid"], ["Surgeon"], "C")]
+    ranks = [{"us": "Private", "soviet": "Ryadovoi"}, {"us": "Corporal", "soviet": "Yefreitor"}, {"us": "Second Lieutenant", "soviet": "Leitenant"}, {"us": "Captain", "soviet": ""}]
+    return C.Book(careers, archetypes, childhoods, ranks).with_clauses(spark)
 
 
-def simulate_life(drafts, seed: int = 7, most_terms: int = 10):
-    """Life paths of drafts (draft_id): terms until war breaks out (a D8 under the number of terms served), by rolls seeded per draft."""
-    import numpy as np
-    import pandas as pd
+def _drafts(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("draft_id"))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for draft in pdf["draft_id"]:
-                rng = np.random.default_rng([seed, int(draft)])
-                age, skills, terms = 18, 0, 0
-                while terms < most_terms:
-                    terms += 1
-                    age += int(rng.integers(1, 7))
-                    skills += 1 + int(rng.integers(1, 7) >= 5)
-                    if int(rng.integers(1, 9)) < terms:
-                        break
-                out.append((draft, terms, age, terms, skills))
-            yield pd.DataFrame(out, columns=["draft_id", "terms", "age", "war_term", "skills"])
 
-    return drafts.mapInPandas(run, LIFE)
+def _roll_sql(step: str, sides: int) -> str:
+    """SQL of the seeded roll of a step."""
+    return f"(1 + CAST('0x' || left(md5(c_custkey || '|' || {step}), 7) AS BIGINT) % {sides})"
 
 
-@query("Q5_life_paths")
-def life_paths(spark, d):
-    return simulate_life(table(spark, d, "customer").select(F.col("c_custkey").alias("draft_id")))
+_TERMS_SQL = f"""(SELECT c_custkey, coalesce(min(t) FILTER (WHERE t > 1 AND {_roll_sql("'war_' || t", 8)} < t), {C.MOST_TERMS}) AS terms, coalesce(bool_or(t > 1 AND {_roll_sql("'war_' || t", 8)} < t), false) AS war FROM customer, range(1, {C.MOST_TERMS + 1}) r(t) GROUP BY c_custkey)"""
+
 
+@query("Q5_life_paths", f"""SELECT c_custkey AS draft_id, ['us','soviet','polish','swedish','other'][{_roll_sql("'nationality'", 5)}] AS nation, ['City','Farm'][{_roll_sql("'childhood'", 2)}] AS childhood, CAST(terms AS INTEGER) AS terms, war,
+  CAST({C.START_AGE} + (SELECT sum({_roll_sql("'age_' || t", 6)}) FROM range(1, {C.MOST_TERMS + 1}) r(t) WHERE t <= terms) AS INTEGER) AS age FROM {_TERMS_SQL}""")
+def life_paths(spark, d):
+    return C.characters(_drafts(spark, d), _book(spark)).select("draft_id", "nation", "childhood", "terms", "war", "age")
 
-ARCHETYPE = "draft_id long, increases int, attrs map<string,string>, skills map<string,string>, specialty string"
-SKILLS = ["Heavy Weapons", "Ranged Combat", "Close Combat", "Driving", "Recon", "Survival", "Tech", "Command", "Persuasion", "Medical Aid", "Mobility", "Stamina"]
 
+@query("Q5_given_rolls", "SELECT c_custkey AS draft_id, CAST(2 + c_custkey % 5 AS INTEGER) AS terms, CAST(18 + 3 * (2 + c_custkey % 5) AS INTEGER) AS age, true AS war FROM customer")
+def given_rolls(spark, d):
+    """Rolls as a column: years of three, and war in a term that the draft's number gives."""
+    last = F.col("draft_id") % 5 + 2
+    terms = F.sequence(F.lit(1), F.lit(C.MOST_TERMS))
+    years = F.transform(terms, lambda t: F.struct(F.concat(F.lit("age_"), t.cast("string")).alias("key"), F.lit(3).alias("value")))
+    wars = F.transform(terms, lambda t: F.struct(F.concat(F.lit("war_"), t.cast("string")).alias("key"), F.when(t == last, 1).otherwise(8).alias("value")))
+    rolls = F.map_from_entries(F.concat(years, wars))
+    return C.characters(_drafts(spark, d).withColumn("rolls", rolls), _book(spark)).select("draft_id", "terms", "age", "war")
 
-def draw_archetypes(drafts, seed: int = 11):
-    """Quick drafts (draft_id): three attribute increases, or four with one attribute lowered; one B, two C and three D skills; a specialty.
 
-    Choices are seeded per draft, so reruns agree.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for draft in pdf["draft_id"]:
-                rng = np.random.default_rng([seed, int(draft)])
-                level = dict.fromkeys(D.ATTRIBUTES, 1)
-                increases = 3 + int(rng.integers(2))
-                if increases == 4:
-                    level[D.ATTRIBUTES[int(rng.integers(4))]] = 0
-                for _ in range(increases):
-                    free = [a for a in D.ATTRIBUTES if level[a] < 3]
-                    level[free[int(rng.integers(len(free)))]] += 1
-                picked = [SKILLS[i] for i in rng.choice(len(SKILLS), 6, replace=False)]
-                skills = dict(zip(picked, "BCCDDD", strict=True))
-                out.append((draft, increases, {a: D.LADDER[x] for a, x in level.items()}, skills, picked[0]))
-            yield pd.DataFrame(out, columns=["draft_id", "increases", "attrs", "skills", "specialty"])
-
-    return drafts.mapInPandas(run, ARCHETYPE)
-
-
-@query("Q6_archetypes")
+@query("Q6_archetypes", f"""SELECT c_custkey AS draft_id, ['The Grunt','The Medic'][a] AS template, ['us','soviet','polish','swedish','other'][{_roll_sql("'nationality'", 5)}] AS nation,
+  CASE a WHEN 1 THEN ['Ranged Combat','Close Combat'][{_roll_sql("'archetype_b_skill'", 2)}] ELSE 'Medical Aid' END AS best, CASE a WHEN 1 THEN ['Rifleman','Gunner'][{_roll_sql("'archetype_spec'", 2)}] ELSE 'Surgeon' END AS specialty,
+  CASE a WHEN 1 THEN 'B' ELSE 'C' END AS cuf, 6 AS skills, 3 AS raised FROM (SELECT *, {_roll_sql("'archetype'", 2)} AS a FROM customer)""")
 def archetypes(spark, d):
-    rows = draw_archetypes(table(spark, d, "customer").select(F.col("c_custkey").alias("draft_id")))
-    return rows.select("draft_id", "increases", F.to_json("attrs").alias("attrs"), F.to_json("skills").alias("skills"), "specialty")
+    rows = C.characters(_drafts(spark, d), _book(spark), C.archetype)
+    above = F.aggregate(F.map_values("attributes"), F.lit(0), lambda n, x: n + F.array_position(F.array(*map(F.lit, D.LADDER)), x).cast("int") - 2)
+    best = F.get(F.map_keys(F.map_filter("skills", lambda k, v: v == "B")), F.lit(0))
+    return rows.select("draft_id", "template", "nation", best.alias("best"), F.get("specialties", F.lit(0)).alias("specialty"), "cuf", F.size("skills").alias("skills"), above.alias("raised"))
 
 
 def replay(events):
