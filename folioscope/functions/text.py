@@ -125,6 +125,11 @@ def clean_cell(c: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(c, r"<br\s*/?>", " "), "[*`]", ""))
 
 
+def item_name(c: Column) -> Column:
+    """A catalogue cell without footnote marks, hyphenation mended."""
+    return F.regexp_replace(F.regexp_replace(trim_all(c), "[ *†‡]+$", ""), r"(\w)- (\w)", "$1$2")
+
+
 def clean_box(c: Column) -> Column:
     return collapse(F.regexp_replace(c, r"[\x00-\x1f]", " "))
 

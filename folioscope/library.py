@@ -1,6 +1,6 @@
 """From a folder of books to published tables, and the commands that answer from them.
 
-    python -m folioscope.library FOLDER OUT [--version V]
+    python -m folioscope.library FOLDER OUT [--version V] [--force]
 
 ``build`` reads the folder, cuts every book into prose chunks, table chunks and
 stat-box chunks, routes them, indexes their terms and publishes all tables as
@@ -10,6 +10,8 @@ one version; ``Library`` answers from the current version.
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import classify as P
 from folioscope.operators import grids as G
+from folioscope.operators import routes as R
 from folioscope.operators import search as S
 from folioscope.operators import segment as H
 from folioscope.sources import library as L
@@ -71,25 +74,50 @@ def all_chunks(docs: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_id", F.xxhash64("doc", "family", "ord"))
 
 
-def build(spark: SparkSession, folder: str, out: str, version: str | None = None) -> dict[str, str]:
-    """Publish chunks, postings, term_stats and corpus of a folder; the manifest is written last."""
+def build(spark: SparkSession, folder: str, out: str, version: str | None = None, force: bool = False) -> dict[str, str]:
+    """Publish chunks, postings, term_stats and corpus of a folder as one version, under a lock; raises Busy while another build runs.
+
+    Texts of files that have not changed come from the previous version unless
+    forced. The manifest is written last.
+    """
     version = version or str(int(time.time()))
-    files = L.extract(L.listing(spark, folder)).filter("kind = 'text'")
-    docs = files.select(F.col("file_id").alias("doc"), "path", "game", "source", "text")
-    paths = {"chunks": L.Snapshots(spark, f"{out}/chunks").publish(all_chunks(docs), version)}
-    idx = S.index(spark.read.parquet(paths["chunks"]))
-    for name, df in idx.items():
-        paths[name] = L.Snapshots(spark, f"{out}/{name}").publish(df, version)
-    L.write_manifest(docs, version, f"{out}/manifest")
-    return paths
+    shots = L.Snapshots(spark, f"{out}/index")
+    with L.exclusive(spark, out):
+        found = L.with_attempts(lambda: L.listing(spark, folder))
+        before = shots.current()
+        files = L.extract(found).filter("kind = 'text'")
+        if before and not force:
+            cached = shots.read("files", before).withColumn("mdv", F.lit(L.TEXT_VERSION)).withColumn("tbv", F.lit(L.TABLE_VERSION))
+            good = L.staleness(files, cached).filter("NOT text_stale").select("file_id")
+            stale = L.extract(found.join(good, "file_id", "left_anti")).filter("kind = 'text'")
+            kept = cached.join(files.select("file_id"), "file_id", "left_semi").join(good, "file_id", "left_semi")
+            files = stale.unionByName(kept.select(*stale.columns))
+        stage = f"{out}/stage-{version}-{time.time_ns()}"
+        files.write.parquet(f"{stage}/files")
+        files = spark.read.parquet(f"{stage}/files")
+        docs = files.select(F.col("file_id").alias("doc"), "path", "game", "source", "text")
+        all_chunks(docs).write.parquet(f"{stage}/chunks")
+        chunks = spark.read.parquet(f"{stage}/chunks")
+        path = shots.publish({"files": files, "chunks": chunks, **S.index(chunks)}, version)
+        stage_path = spark._jvm.org.apache.hadoop.fs.Path(stage)
+        stage_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stage_path, True)
+        L.write_manifest(docs, version, f"{out}/manifest")
+    return {name: f"{path}/{name}" for name in ("files", "chunks", "postings", "term_stats", "corpus")}
 
 
 class Library:
-    """Answers from the current version of a published library."""
+    """Answers from the version that was current when it was opened; ``reload`` takes the newest."""
 
     def __init__(self, spark: SparkSession, out: str):
-        read = lambda name: L.Snapshots(spark, f"{out}/{name}").read()
-        self.spark, self.chunks = spark, read("chunks")
+        self.spark, self._shots = spark, L.Snapshots(spark, f"{out}/index")
+        self.reload()
+
+    def reload(self) -> None:
+        path = self._shots.current()
+        if path is None:
+            raise FileNotFoundError("no version has been published yet")
+        read = lambda name: self._shots.read(name, path)
+        self.chunks = read("chunks")
         self.index = {name: read(name) for name in ("postings", "term_stats", "corpus")}
 
     def search(self, query: str, k: int = 5, game: str | None = None, book: str | None = None, categories: list[str] | None = None, min_rel: float | None = None) -> DataFrame:
@@ -108,24 +136,38 @@ class Library:
         return self.search(query, 8, game, categories=["tables"], min_rel=0.6)
 
     def domain(self, query: str, domain: str, game: str | None = None) -> DataFrame:
-        """Hits among the categories of a domain (ability, rule, item, transport, table, class)."""
-        present = self.chunks.select("category").distinct().withColumn("d", P.domain(F.col("category"))).filter(F.col("d") == domain)
-        return self.search(query, 8, game, categories=[r.category for r in present.collect()] or ["-"])  # a few categories
+        """Hits and named entries of a domain (ability, rule, item, transport, table, class), best first."""
+        asked = self.spark.createDataFrame([(1, query)], "query_id int, query string")
+        return R.domain_lookup(self.chunks, self.index, asked, domain, game).drop("query_id")
+
+    def career(self, name: str, game: str) -> DataFrame:
+        """Sections of a career: from its cards, else put together from what is said of it."""
+        return R.find_career(self.chunks, self.index, game, name)
 
     def sources(self) -> DataFrame:
         return self.chunks.groupBy("game", "source").agg(F.count(F.lit(1)).alias("chunks")).orderBy("game", "source")
 
 
-def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(description="Index a folder of books.")
-    parser.add_argument("folder")
-    parser.add_argument("out")
+def main(argv: list[str] | None = None) -> int:
+    """0: published; 2: no folder to read or no place to write was named; 3: another build runs."""
+    parser = argparse.ArgumentParser(description="Index a folder of books.", exit_on_error=False)
+    parser.add_argument("folder", nargs="?", default=os.environ.get("FOLIOSCOPE_FOLDER"))
+    parser.add_argument("out", nargs="?", default=os.environ.get("FOLIOSCOPE_OUT"))
     parser.add_argument("--version")
+    parser.add_argument("--force", action="store_true", help="extract all files anew")
     args = parser.parse_args(argv)
+    if not args.folder or not args.out:
+        print("name a folder and an output folder, or set FOLIOSCOPE_FOLDER and FOLIOSCOPE_OUT", file=sys.stderr)
+        return 2
     spark = SparkSession.builder.appName("folioscope").getOrCreate()
-    for name, path in build(spark, args.folder, args.out, args.version).items():
-        print(name, path)
+    try:
+        for name, path in build(spark, args.folder, args.out, args.version, args.force).items():
+            print(name, path)
+    except L.Busy as busy:
+        print(busy, file=sys.stderr)
+        return 3
+    return 0
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

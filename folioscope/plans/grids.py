@@ -299,21 +299,16 @@ def catalog(spark, d):
     return table(spark, d, "part").select(F.col("p_brand").alias("source"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("ord"), cell.alias("cell"), "p_retailprice")
 
 
-def item_name(c):
-    """A catalogue cell without footnote marks, hyphenation mended."""
-    return F.regexp_replace(F.regexp_replace(T.trim_all(c), "[ *†‡]+$", ""), r"(\w)- (\w)", "$1$2")
-
-
 @query("C5_catalog_names", rf"SELECT source, string_agg(name, '|' ORDER BY name) AS names FROM (SELECT source, lower(n) AS k, arg_min(n, ord) AS name FROM (SELECT source, ord, regexp_replace(trim(cell), '[ *†‡]+$', '') AS n FROM {CATALOG_SQL}) GROUP BY source, lower(n)) GROUP BY source")
 def catalog_names(spark, d):
-    rows = catalog(spark, d).withColumn("name", item_name(F.col("cell"))).filter(P.is_catalog_name(F.col("name")))
+    rows = catalog(spark, d).withColumn("name", T.item_name(F.col("cell"))).filter(P.is_catalog_name(F.col("name")))
     first = rows.groupBy("source", F.lower("name").alias("k")).agg(F.min_by("name", "ord").alias("name"))
     return first.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("name")), "|").alias("names"))
 
 
 @query("C6_catalog_cards", rf"SELECT source, k, ord, from_row FROM (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY from_row DESC, ord) AS r FROM (SELECT source, lower(regexp_replace(trim(cell), '[ *†‡]+$', '')) AS k, ord, kind = 'SMALL' AS from_row FROM {CATALOG_SQL})) WHERE r = 1")
 def catalog_cards(spark, d):
-    rows = catalog(spark, d).select("source", F.lower(item_name(F.col("cell"))).alias("k"), "ord", (F.col("kind") == "SMALL").alias("from_row"))
+    rows = catalog(spark, d).select("source", F.lower(T.item_name(F.col("cell"))).alias("k"), "ord", (F.col("kind") == "SMALL").alias("from_row"))
     w = Window.partitionBy("source", "k").orderBy(F.desc("from_row"), "ord")  # a catalogue row beats a heading-named block
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
@@ -321,7 +316,7 @@ def catalog_cards(spark, d):
 @query("C4_explode_items", rf"""WITH x AS (SELECT source, ord, regexp_replace(trim(cell), '[ *†‡]+$', '') AS name FROM {CATALOG_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY source, lower(name) ORDER BY ord) AS r FROM x)
   SELECT source, ord, name, CASE WHEN name = 'small ring' THEN 1.0 WHEN contains(name, 'small') AND contains(name, 'ring') THEN 0.7 WHEN contains(name, 'small') OR contains(name, 'ring') THEN 0.2 ELSE 0.0 END AS score FROM f WHERE r = 1""")
 def explode_items(spark, d):
-    rows = catalog(spark, d).select("source", "ord", item_name(F.col("cell")).alias("name"))
+    rows = catalog(spark, d).select("source", "ord", T.item_name(F.col("cell")).alias("name"))
     w = Window.partitionBy("source", F.lower("name")).orderBy("ord")
     score = T.name_score(T.tokenize(F.lit("small ring")), T.tokenize(F.col("name")))
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").select("source", "ord", "name", F.round(score, 6).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import careers as K
 from folioscope.operators import joins as J
+from folioscope.operators import routes as R
 from folioscope.plans.base import Rows, query, table
 
 CELLS_SQL = "(SELECT p_partkey AS id, p_brand AS key, p_size % 3 = 0 AS md, [upper(p_name), p_type, CAST(p_size AS VARCHAR)] AS cells FROM part)"
@@ -175,10 +176,42 @@ def assemble(spark, d):
     return K.assemble(HITS.df(spark), "Baker")
 
 
-@query("R8_find_career", "SELECT c_custkey, CASE WHEN n > 0 THEN 'structured' ELSE 'assembled' END AS how FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey)")
+#: A card a customer: two careers named after its segment and key, some blank cells.
+CARD_SQL = "(SELECT c_custkey AS card, 'Segment ' || lower(c_mktsegment) AS one, 'Guild of ' || c_nationkey AS two, 'skill ' || c_custkey % 5 AS s1, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'skill ' || c_custkey % 7 END AS s2, 'Pan ' || c_custkey % 4 AS g1, 'Bag' AS g2, CASE WHEN c_custkey % 2 = 0 THEN 'Apron' ELSE '' END AS h1 FROM customer)"
+
+
+def _cards(spark, d):
+    c = table(spark, d, "customer")
+    one, two = F.concat(F.lit("Segment "), F.lower("c_mktsegment")), F.concat(F.lit("Guild of "), "c_nationkey")
+    s1, s2 = F.concat(F.lit("skill "), F.col("c_custkey") % 5), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("skill "), F.col("c_custkey") % 7))
+    rows = F.array(F.array(F.lit("CAREER"), one, two), F.array(F.lit("SKILLS"), s1, s2), F.array(F.lit("STARTING GEAR"), F.concat(F.lit("Pan "), F.col("c_custkey") % 4), F.lit("Bag")), F.array(F.lit(""), F.when(F.col("c_custkey") % 2 == 0, "Apron").otherwise(""), F.lit("")))
+    return c.select(F.col("c_custkey").alias("chunk_id"), F.lit("G").alias("game"), F.lit("card").alias("category"), rows.alias("rows"))
+
+
+_SECTIONS_SQL = f"""(SELECT card, name, ord, label, text FROM (SELECT card, one AS name, 1 AS ord, 'Skills' AS label, s1 AS text FROM {CARD_SQL} UNION ALL SELECT card, one, 2, 'Starting Gear', g1 || CASE WHEN h1 <> '' THEN ', ' || h1 ELSE '' END FROM {CARD_SQL} UNION ALL SELECT card, two, 1, 'Skills', s2 FROM {CARD_SQL} UNION ALL SELECT card, two, 2, 'Starting Gear', g2 FROM {CARD_SQL}) WHERE text <> '')"""
+
+
+@query("K1_unpivot_drawn", f"SELECT card, name, CAST(ord AS BIGINT) AS ord, label, text FROM {_SECTIONS_SQL}")
+def unpivot_drawn(spark, d):
+    return K.card_sections(_cards(spark, d).select(F.col("chunk_id").alias("card"), "rows")).select("card", "name", F.col("ord").cast("long").alias("ord"), "label", "text")
+
+
+@query("K2_careers_of_cards", f"SELECT name, label, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), label ORDER BY card, ord) AS r FROM {_SECTIONS_SQL}) WHERE r = 1")
+def careers_of_cards(spark, d):
+    return R.structured_careers(_cards(spark, d)).select("name", "label", "text")
+
+
+@query("R8_find_career", f"SELECT 'structured' AS how, CAST(row_number() OVER (ORDER BY card, ord) AS INTEGER) AS ord, label, text FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY card, ord) AS r FROM {_SECTIONS_SQL} WHERE lower(name) = 'guild of 3') WHERE r = 1")
 def find_career(spark, d):
-    known = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).distinct()
-    return table(spark, d, "customer").join(known, F.col("k") == F.col("c_custkey"), "left").select("c_custkey", F.when(F.col("k").isNotNull(), "structured").otherwise("assembled").alias("how"))
+    return R.find_career(_cards(spark, d), {}, "G", "guild OF 3")
+
+
+@query("R8_assembled_career", """SELECT 'assembled' AS how, CAST(row_number() OVER (ORDER BY signal DESC, score DESC, chunk_id) AS INTEGER) AS ord, label, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 600) AS text FROM (SELECT *, row_number() OVER (PARTITION BY lower(label) ORDER BY signal DESC, score DESC, chunk_id) AS r FROM (
+  SELECT chunk_id, score, text, section || ' · ' || 'p. 1' AS label, regexp_matches(section || ' ' || left(text, 400), '(?i)\\b(qualif|surviv|advance|muster|rank|assignment|specialist|service skill|personal development|career|term)\\b') AS signal FROM (SELECT doc_id AS chunk_id, CAST(n_chars AS DOUBLE) AS score, source || ' the' AS section, text FROM documents) WHERE contains(lower(section || ' ' || left(text, 500)), 'the'))) WHERE r = 1 ORDER BY signal DESC, score DESC, chunk_id LIMIT 5""")
+def assembled_career(spark, d):
+    docs = table(spark, d, "documents")
+    hits = docs.select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"), F.concat("source", F.lit(" the")).alias("section"), F.lit("p. 1").alias("locator"), "text")
+    return K.assemble(hits, "the").select(F.lit("assembled").alias("how"), "ord", "label", "text")
 
 
 @query("A10_upper_median", "SELECT l_suppkey, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS med FROM lineitem GROUP BY l_suppkey")

@@ -6,10 +6,14 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from folioscope import library as books
+from folioscope.operators import chargen as C
 from folioscope.operators import evals as E
 from folioscope.operators import segment as G
 from folioscope.plans.base import Rows, query, table
+from folioscope.plans.domain import _book as domain_book
 from folioscope.plans.search import chunks
+from folioscope.plugins import Registry, per_page
 from folioscope.sources import library as L
 from folioscope.streaming import watch as W
 
@@ -47,9 +51,9 @@ def incremental(spark, d):
     return L.refreshed(files, _cache(spark, d), files.select("file_id", "text"))
 
 
-@query("S10_manifest", f"SELECT '3' AS version, count(*) AS documents, string_agg(path, ',' ORDER BY path) AS files FROM {LISTING_SQL}")
+@query("S10_manifest", f"SELECT '3' AS version, count(*) AS documents, CAST(sum(CAST(CAST('0x' || substr(md5(path), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS files FROM {LISTING_SQL}")
 def manifest(spark, d):
-    return L.manifest(_listing(spark, d), "3").withColumn("files", F.array_join("files", ","))
+    return L.manifest(_listing(spark, d), "3")
 
 
 @query("S14_split_path", f"SELECT file_id, string_split(path, '/')[1] AS game, string_split(path, '/')[-1] AS book FROM {LISTING_SQL}")
@@ -62,7 +66,10 @@ def _folder(spark, name):
     """A new folder beside the checkpoints, which all executors share."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="folioscope-")  # local mode: one machine
     return f"{base.rstrip('/')}/folioscope/{name}-{uuid.uuid4().hex}"
 
 
@@ -108,22 +115,51 @@ def dump(spark, d):
     return spark.read.text(path).agg(F.count("*").alias("lines"))
 
 
-@query("T4_snapshot_swap", "SELECT 2 AS version, count(*) AS n FROM documents WHERE lang = 'en'")
+@query("T4_snapshot_swap", "SELECT '2' AS version, lang, count(*) AS n, (SELECT count(*) FROM documents) AS before FROM documents WHERE lang <> 'de' GROUP BY lang")
 def snapshot_swap(spark, d):
     shots = L.Snapshots(spark, _folder(spark, "snapshots"))
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    shots.publish(docs, "1")
-    old = shots.read()
-    shots.publish(docs.filter("lang = 'en'"), "2")
-    assert old.count() == docs.count()  # readers of the old version keep it
-    return shots.read().agg(F.lit(2).alias("version"), F.count("*").alias("n"))
+    langs = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    first = shots.publish({"docs": docs, "langs": langs}, "1")
+    kept = docs.filter("lang <> 'de'")
+    second = shots.publish({"docs": kept, "langs": langs.filter("lang <> 'de'")}, "2")
+    old = shots.read("docs", first).agg(F.count("*").alias("before"))  # readers of the old version keep it
+    now = shots.read("langs").join(shots.read("docs").select("lang").distinct(), "lang")
+    return now.crossJoin(old).select(F.lit(shots.label(second)).alias("version"), "lang", "n", "before")
 
 
-@query("R10_refresh", "SELECT lang AS game, count(*) AS chunks FROM documents GROUP BY lang")
+@query("R10_refresh", f"SELECT file_id, CASE WHEN fresh THEN 'cached ' || file_id ELSE text END AS text FROM (SELECT l.*, coalesce(l.modified_time = c.modified_time AND mdv = '1', false) AS fresh FROM {LISTING_SQL} l LEFT JOIN {CACHE_SQL} c USING (file_id)) WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
 def refresh(spark, d):
+    files = _listing(spark, d)
+    shots = L.Snapshots(spark, _folder(spark, "index"))
+    L.refresh(shots, files, _cache(spark, d), lambda stale: stale.select("file_id", "text"), "1")
+    return shots.read().select("file_id", "text")
+
+
+@query("R10_refresh_forced", f"SELECT file_id, text FROM {LISTING_SQL} WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
+def refresh_forced(spark, d):
+    files = _listing(spark, d)
     shots = L.Snapshots(spark, _folder(spark, "index"))
-    shots.publish(chunks(spark, d).select("chunk_id", "game", "source", "category", "section"), "1")
-    return shots.read().groupBy("game").agg(F.count("*").alias("chunks"))
+    L.refresh(shots, files, _cache(spark, d), lambda stale: stale.select("file_id", "text"), "1", force=True)
+    return shots.read().select("file_id", "text")
+
+
+@query("T3_guard", "SELECT 'taken' AS first, 'rejected' AS second, count(*) AS documents FROM documents")
+def guard(spark, d):
+    """A refresh that starts while another one runs is rejected and changes nothing."""
+    shots = L.Snapshots(spark, _folder(spark, "guarded"))
+    files, said = _listing(spark, d), []
+
+    def during(stale):
+        try:
+            L.refresh(shots, files.limit(0), _cache(spark, d), lambda rows: rows.select("file_id", "text"), "2", force=True)
+            said.append("taken")
+        except L.Busy:
+            said.append("rejected")
+        return stale.select("file_id", F.coalesce(F.nullif("text", F.lit("")), F.lit("-")).alias("text"))
+
+    L.refresh(shots, files, _cache(spark, d), during, "1", force=True, keep_blank=True)
+    return shots.read().agg(F.lit("taken").alias("first"), F.lit(said[0]).alias("second"), F.count("*").alias("documents"))
 
 
 def _watch(spark, d):
@@ -157,7 +193,16 @@ def startup_batch(spark, d):
 
 @query("T_extra_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
-    return W.event_windows(table(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    # a stream of the table's files, drained once; the watermark comes after all rows of the only batch
+    name, out, mark = f"events-{d.rsplit('/', 1)[-1]}", _folder(spark, "windows"), _folder(spark, "windows-mark")
+    source = _folder(spark, name)
+    table(spark, d, "events").select("ts", "event_type", "value").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    windows = W.event_windows(spark.readStream.schema(schema).parquet(source))
+    flat = windows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    whole = lambda batch, number: batch.write.mode("overwrite").parquet(out) if not batch.isEmpty() else None
+    flat.writeStream.outputMode("complete").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(whole).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 # ------------------------------------------------------------------ X
@@ -224,30 +269,81 @@ def heading_recall(spark, d):
 
 
 # ------------------------------------------------------------------ Y
-PLUGINS: dict = {}
+LANGUAGES = Registry("page", "career_detect")
+LANGUAGES.register("de", page=lambda pdf: pdf.assign(text=pdf["text"].fillna("").str.replace("\n", " / ", regex=False)))
+LANGUAGES.register("e", page=lambda pdf: pdf.assign(text=pdf["text"].fillna("").str.len().astype(str)), career_detect=lambda pdf: pdf.assign(found=pdf["text"].fillna("").str.count("the")).loc[:, ["doc", "found"]])
+_PAGE_SQL = "(SELECT doc_id AS doc, lang AS game, coalesce(text, '') AS text FROM documents)"
 
 
-def plugin(name: str):
-    """Register a page function: rows of one document in, rows out (a table function in Spark's terms)."""
+def _pages(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("game"), "text")
 
-    def register(run):
-        PLUGINS[name] = run
-        return run
 
-    return register
+@query("Y1_page_plugins", f"SELECT doc, CASE WHEN contains(game, 'de') THEN replace(text, chr(10), ' / ') WHEN contains(game, 'e') THEN CAST(length(text) AS VARCHAR) ELSE text END AS text FROM {_PAGE_SQL}")
+def page_plugins(spark, d):
+    return per_page(_pages(spark, d), ["doc"], LANGUAGES, "page").select("doc", F.coalesce("text", F.lit("")).alias("text"))
 
 
-@plugin("join_lines")
-def join_lines(pdf):
-    return pdf.assign(text=pdf["text"].str.replace("\n", " / ", regex=False))
+@query("Y2_career_hooks", f"SELECT doc, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS found FROM {_PAGE_SQL} WHERE contains(game, 'e') AND NOT contains(game, 'de')")
+def career_hooks(spark, d):
+    return per_page(_pages(spark, d), ["doc"], LANGUAGES, "career_detect", "doc long, found long")
 
 
-def apply_plugin(docs, name: str):
-    """A registered function over every document (doc, text), one Arrow batch per document group."""
-    run = PLUGINS[name]
-    return docs.groupBy("doc").applyInPandas(lambda pdf: run(pdf), docs.schema)
+FLOWS = Registry("build_flow", "build_data")
+FLOWS.register("e", build_flow=lambda: C.archetype, build_data=domain_book)
+FLOWS.register("", build_flow=lambda: C.life_path, build_data=domain_book)
 
 
-@query("Y1_page_plugins", "SELECT item_id AS doc, replace(text, chr(10), ' / ') AS text FROM benchmark")
-def page_plugins(spark, d):
-    return apply_plugin(table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), "text"), "join_lines")
+@query("Y3_chargen_registry", "SELECT lang AS game, contains(lang, 'e') AS quick, count(*) AS sheets FROM (SELECT DISTINCT lang FROM documents), range(1, 11) r(n) GROUP BY lang")
+def chargen_registry(spark, d):
+    """Ten sheets for each language, by the flow that the registry has for it."""
+    games = sorted(r[0] for r in table(spark, d, "documents").select("lang").distinct().collect())  # a few games
+    drafts, out = spark.range(1, 11).withColumnRenamed("id", "draft_id"), None
+    for game in games:
+        entry = FLOWS.of(game)
+        sheets = C.characters(drafts, entry.hooks["build_data"](spark), entry.hooks["build_flow"](), game)
+        mine = sheets.groupBy(F.lit(game).alias("game"), (F.col("template") != "").alias("quick")).agg(F.count("*").alias("sheets"))
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+BUILDS = Registry("build_data", "render")
+BUILDS.register("small", build_data=lambda p: p.filter("p_type = 'SMALL'"), render=lambda: F.concat(F.lit("small "), "p_name"))
+BUILDS.register("pr", build_data=lambda p: p.filter("p_type = 'PROMO'"), render=lambda: F.upper("p_name"))
+
+
+@query("Y4_builder_registry", "SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'small ' || p_name ELSE upper(p_name) END AS sheet FROM part WHERE p_type IN ('SMALL', 'PROMO')")
+def builder_registry(spark, d):
+    part, out = table(spark, d, "part"), None
+    for game in ("Small craft", "promo", "other"):
+        if (entry := BUILDS.of(game)) is not None:
+            mine = entry.hooks["build_data"](part).select("p_partkey", entry.hooks["render"]().alias("sheet"))
+            out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+@query("Y5_rolls_as_columns", f"SELECT c_custkey AS draft_id, CAST(1 + CAST('0x' || left(md5('s' || c_custkey || '|nationality'), 7) AS BIGINT) % 5 AS INTEGER) AS seeded, 1 + c_custkey % 5 AS given FROM customer")
+def rolls_as_columns(spark, d):
+    """The same flow by a seed, and by rolls that a column gives."""
+    drafts = table(spark, d, "customer").select(F.col("c_custkey").alias("draft_id"))
+    book, nations = domain_book(spark), F.array(*map(F.lit, C.NATIONS))
+    place = F.array_position(nations, F.col("nation"))
+    seeded = C.characters(drafts, book, seed="s").select("draft_id", place.cast("int").alias("seeded"))
+    rolls = F.create_map(F.lit("nationality"), (F.col("draft_id") % 5 + 1).cast("int"))
+    given = C.characters(drafts.withColumn("rolls", rolls), book).select("draft_id", place.alias("given"))
+    return seeded.join(given, "draft_id")
+
+
+#: A stat box for each part: heading, two fields, a wrapped value and prose.
+_BOX_KINDS = ["SPELL", "FEAT", "CANTRIP", "RITUAL"]
+
+
+@query("C3_box_chunks", """SELECT p_partkey AS doc, CASE p_partkey % 4 WHEN 1 THEN 'feat' ELSE 'spell' END AS category, CASE p_partkey % 4 WHEN 0 THEN 'Spell' WHEN 1 THEN 'Feat' WHEN 2 THEN 'Cantrip' ELSE 'Ritual' END || ' › Glow' AS section,
+  'Level=' || p_size || ';Range=' || p_size || ' feet;Area=' || lower(p_brand) AS grid, 'A soft light of ' || p_size || ' fills it.' AS description FROM part""")
+def box_chunks(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, _BOX_KINDS)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("[[page 2]]\n##### **GLOW "), kind, F.lit(" "), "p_size", F.lit("**\n**Range** "), "p_size", F.lit(" feet; **Area** "), F.lower("p_brand"), F.lit("\nA soft light of "), "p_size", F.lit(" fills it.\n##### **GLOW "), kind, F.lit(" 9**\n**Range** second\nThe same name again.\n"))
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.lit("G").alias("game"), F.lit("book").alias("source"), text.alias("text"))
+    rows = books.box_chunks(docs)
+    grid = F.array_join(F.transform("rows", lambda r: F.array_join(r, "=")), ";")
+    return rows.select("doc", "category", "section", grid.alias("grid"), "description")

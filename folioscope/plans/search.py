@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import evals as E
+from folioscope.operators import routes as R
 from folioscope.operators import search as S
 from folioscope.plans.base import Rows, query, table
 from folioscope.plans.text import score_sql, tokens_sql
@@ -168,6 +169,44 @@ def auto_select(spark, d):
     return S.auto_select(_hits(spark, d), 0.45)
 
 
+def _domain_sql(categories: str, catalogue: bool) -> str:
+    """Named entries, text hits where these count, the best of each (query, source, leaf), the first 25."""
+    name, words = tokens_sql("section"), tokens_sql("query")
+    return bm25_sql(QUESTIONS.sql, 8, 0.4, f"category IN ({categories})", tail=f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, source, item, score, rank = 1 AND score >= 0.6 AND certain = 1 AS opens FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id, lower(item)) AS rank, count(*) FILTER (WHERE score >= 0.6 AND o <= 25) OVER (PARTITION BY query_id) AS certain FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id, lower(item)) AS o FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id, source, lower(item) ORDER BY score DESC, kind, chunk_id) AS d FROM (
+          SELECT * FROM (SELECT query_id, chunk_id, source, section AS item, round({score_sql("qt", "nt")}, 6) AS score, 0 AS kind FROM (SELECT query_id, chunk_id, source, section, {words} AS qt, {name} AS nt FROM {QUESTIONS.sql}, {CHUNKS_SQL} WHERE category IN ({categories}))) WHERE score > 0
+          UNION ALL SELECT r.query_id, r.chunk_id, k.source, k.section, r.score, 1 FROM r JOIN {CHUNKS_SQL} k USING (chunk_id) WHERE r.rank <= 8 AND ({str(catalogue).lower()} OR r.query_id NOT IN (SELECT query_id FROM {QUESTIONS.sql}, {CHUNKS_SQL} WHERE category IN ({categories}) AND len(list_intersect({words}, {name})) > 0))
+        )) WHERE d = 1) WHERE o <= 25)""")
+
+
+def _domain(spark, d, domain):
+    c = chunks(spark, d).withColumn("rows", F.lit(None).cast("array<array<string>>"))
+    return R.domain_lookup(c, _asked_index(spark, c), QUESTIONS.df(spark), domain)
+
+
+@query("R6_domain_lookup", _domain_sql("'items'", True))
+def domain_items(spark, d):
+    return _domain(spark, d, "item")
+
+
+@query("R6_domain_rules", _domain_sql("'rules'", False))
+def domain_rules(spark, d):
+    return _domain(spark, d, "rule")
+
+
+@query("R6_explode_rows", f"""SELECT chunk_id, item, score FROM (SELECT *, round({score_sql(tokens_sql("'small ring'"), tokens_sql('item'))}, 6) AS score FROM (SELECT p_partkey AS chunk_id, unnest([p_name, p_type || ' ring', 'small ' || p_brand || ' *']) AS raw, regexp_replace(raw, '[ *]+$', '') AS item FROM part)) WHERE score > 0""")
+def explode_rows(spark, d):
+    p = table(spark, d, "part")
+    cells = [F.col("p_name"), F.concat("p_type", F.lit(" ring")), F.concat(F.lit("small "), "p_brand", F.lit(" *"))]
+    grid = F.array(F.array(F.lit("Name"), F.lit("Cost")), *(F.array(c, F.lit("5")) for c in cells))
+    c = p.select(F.col("p_partkey").alias("chunk_id"), F.lit("book").alias("source"), F.lit("Gear").alias("section"), grid.alias("rows"))
+    asked = spark.createDataFrame([(1, "small ring")], "query_id int, query string")
+    hits = p.select(F.lit(1).alias("query_id"), F.col("p_partkey").alias("chunk_id"), F.lit(2.0).alias("score"))
+    return R.explode_items(hits, c, asked).select("chunk_id", "item", "score")
+
+
 @query("J1_term_postings", f"SELECT query_id, count(*) AS postings FROM (SELECT q.query_id FROM (SELECT query_id, unnest({tokens_sql('query')}) AS term FROM {QUESTIONS.sql}) q JOIN (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents)) p USING (term)) GROUP BY query_id")
 def term_postings(spark, d):
     q = QUESTIONS.df(spark).select("query_id", F.explode(T.tokenize(F.col("query"))).alias("term"))

@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,7 @@ from folioscope.functions import text as T
 from folioscope.operators.segment import split_game
 
 TEXT_VERSION, TABLE_VERSION = "1", "1"
+T_ = TypeVar("T_")
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,12 +67,14 @@ def write_cache(records: DataFrame, path: str) -> None:
 
 
 def manifest(docs: DataFrame, version: str) -> DataFrame:
-    """One row: version, documents and the sorted paths."""
-    return docs.agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("documents"), F.sort_array(F.collect_list("path")).alias("files"))
+    """One row: version, documents and a digest of the paths that does not depend on their order."""
+    part = F.conv(F.substring(F.md5(F.col("path").cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return docs.agg(F.lit(version).alias("version"), F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("files"))
 
 
 def write_manifest(docs: DataFrame, version: str, path: str) -> None:
-    """The manifest as JSON; written last, its presence says that everything else is there."""
+    """The manifest as JSON, with the paths as a table beside it; written last, its presence says that everything else is there."""
+    docs.select("path").sort("path").write.mode("overwrite").parquet(f"{path}-files")
     manifest(docs, version).coalesce(1).write.mode("overwrite").json(path)
 
 
@@ -75,39 +84,113 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Snapshots:
-    """Versions of a table below a folder and a pointer to the current one.
+    """Versions of a set of tables below a folder; the newest complete one is current.
 
-    ``publish`` writes a new version and then turns the pointer, in one rename;
-    readers of the old version keep it. The pointer is a small file in the same
-    store.
+    ``publish`` writes all tables of a version into a folder of its own and a
+    marker last, which is one small file that is created whole. Nothing that a
+    reader may hold is ever moved or deleted, so a reader finds the old version
+    or the new one, never none and never a mix: it asks once and reads every
+    table from the version that it got.
     """
 
+    MARK = "_COMPLETE"
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def versions(self) -> list[str]:
+        """Paths of the complete versions, oldest first."""
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder)) if f.isDirectory()]
+        marked = [n for n in names if n.startswith("v-") and self._fs.exists(self._path(f"{self.folder}/{n}/{self.MARK}"))]
+        return [f"{self.folder}/{n}" for n in sorted(marked)]
+
     def current(self) -> str | None:
         """Path of the current version."""
-        pointer = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])["path"]
-
-    def publish(self, df: DataFrame, version: str) -> str:
-        path = f"{self.folder}/v-{version}"
-        df.write.mode("errorifexists").parquet(path)
-        fresh = self._path(f"{self.folder}/CURRENT.{version}")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(json.dumps({"path": path, "version": version}), "utf-8"))
+        return (self.versions() or [None])[-1]
+
+    def publish(self, tables: DataFrame | dict[str, DataFrame], version: str) -> str:
+        """Write a version of one table, or of several by name, and make it the current one; returns its path."""
+        tables = tables if isinstance(tables, dict) else {"table": tables}
+        last = self.current()
+        number = int(last.rsplit("/v-", 1)[1].split("-", 1)[0]) + 1 if last else 1
+        path = f"{self.folder}/v-{number:08d}-{uuid.uuid4().hex[:8]}"
+        for name, df in tables.items():
+            df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        stream = self._fs.create(self._path(f"{path}/{self.MARK}"), False)
+        stream.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}), "utf-8"))
         stream.close()
-        pointer = self._path(f"{self.folder}/CURRENT")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
         return path
 
-    def read(self) -> DataFrame | None:
-        path = self.current()
-        return None if path is None else self.spark.read.parquet(path)
+    def label(self, path: str) -> str:
+        """The version string that a path was published under."""
+        return json.loads(self.spark.read.text(f"{path}/{self.MARK}").first()[0])["version"]
+
+    def read(self, name: str = "table", path: str | None = None) -> DataFrame | None:
+        """A table of the current version, or of one that was asked for before."""
+        path = path or self.current()
+        return None if path is None else self.spark.read.parquet(f"{path}/{name}")
+
+    def drop_before(self, keep: int = 2) -> list[str]:
+        """Delete all but the newest versions, for which the caller knows that nobody reads the rest."""
+        old = self.versions()[: -keep or None]
+        for path in old:
+            self._fs.delete(self._path(path), True)
+        return old
+
+
+def refresh(shots: Snapshots, files: DataFrame, cache: DataFrame, extract_: Callable[[DataFrame], DataFrame], version: str, force: bool = False, keep_blank: bool = False) -> str:
+    """Extract what is stale (all files if forced), put it with what the cache still has and publish it, under the folder's lock.
+
+    ``extract_`` gives file_id, text for the files it gets. Raises Busy while another refresh runs.
+    """
+    spark = shots.spark
+    with exclusive(spark, shots.folder):
+        if force:
+            texts = extract_(files)
+            texts = texts if keep_blank else texts.filter(T.trim_all(F.col("text")) != "")
+        else:
+            stale = files.join(staleness(files, cache).filter("text_stale").select("file_id"), "file_id", "left_semi")
+            texts = refreshed(files, cache, extract_(stale))
+        return shots.publish(texts, version)
+
+
+class Busy(RuntimeError):
+    """Another run holds the lock."""
+
+
+@contextmanager
+def exclusive(spark: SparkSession, folder: str, stale_seconds: int = 6 * 3600):
+    """Hold the lock file of a folder, or raise Busy at once; a lock older than ``stale_seconds`` is taken over.
+
+    The file is created exclusively, which the stores' file systems do atomically.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_LOCK")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_seconds:
+        fs.delete(path, False)
+    try:
+        stream = fs.create(path, False)
+    except Py4JJavaError as error:
+        raise Busy(f"another refresh holds {path}") from error
+    stream.write(bytearray(str(time.time()), "utf-8"))
+    stream.close()
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
+
+
+def with_attempts(read: Callable[[], T_], attempts: int = 3, wait: float = 2.0) -> T_:
+    """What ``read`` gives, tried so often with growing pauses; the last error is raised. For driver-side calls of a store; tasks are retried by Spark."""
+    for attempt in range(attempts):
+        try:
+            return read()
+        except (OSError, Py4JJavaError):
+            if attempt + 1 == attempts:
+                raise
+            time.sleep(wait * (attempt + 1))
+    raise ValueError("no attempts")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-MANIFEST = "version string, documents long, files array<string>"
+from folioscope.sources.library import exclusive
+
+MANIFEST = "version string, documents long, files string"
 POLL = "30 seconds"
 
 
@@ -28,6 +30,16 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, rebuild: Callable[[
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
 
 
+def guarded(spark: SparkSession, folder: str, rebuild: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """``rebuild`` under the lock of a folder; while another run holds it, the batch fails and is tried again by the stream's next start."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        with exclusive(spark, folder):
+            rebuild(batch, number)
+
+    return run
+
+
 def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """An addition for streams of events (ts, event_type, value): windowed counts and sums with a bound on lateness."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
