@@ -101,7 +101,7 @@ def build(spark: SparkSession, folder: str, out: str, version: str | None = None
         path = shots.publish({"files": files, "chunks": chunks, **S.index(chunks)}, version)
         stage_path = spark._jvm.org.apache.hadoop.fs.Path(stage)
         stage_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stage_path, True)
-        L.write_manifest(docs, version, f"{out}/manifest")
+        L.write_manifest(shots.read("files", path), version, f"{out}/manifest")
     return {name: f"{path}/{name}" for name in ("files", "chunks", "postings", "term_stats", "corpus")}
 
 
@@ -138,7 +138,8 @@ class Library:
     def domain(self, query: str, domain: str, game: str | None = None) -> DataFrame:
         """Hits and named entries of a domain (ability, rule, item, transport, table, class), best first."""
         asked = self.spark.createDataFrame([(1, query)], "query_id int, query string")
-        return R.domain_lookup(self.chunks, self.index, asked, domain, game).drop("query_id")
+        hits = R.domain_lookup(self.chunks, self.index, asked, domain, game).drop("query_id", "source")
+        return hits.join(self.chunks, "chunk_id").orderBy("rank")
 
     def career(self, name: str, game: str) -> DataFrame:
         """Sections of a career: from its cards, else put together from what is said of it."""
