@@ -15,6 +15,8 @@ Groups of contexts are bounded, so blocks are. An anchor that is very frequent i
 one slice (HOT), or whose contexts come to more than GROUP_LETTERS in all slices
 together, would put its contexts into one block without bound; its windows are
 compared by 128-bit digests instead, which is exact and spreads over all tasks.
+Windows whose distance to the anchor is the same in steps of STEP have a core in
+common, and only those whose core repeats are digested.
 
 Defined cases: a null text is an empty one; bytes are those of UTF-8, matches
 never cross documents and what remains may cut a character; rows that share
@@ -41,6 +43,7 @@ from folioscope.llm.windows import (
     entry_table,
     keyed,
     list_arrays,
+    pos_anchor,
     pos_count,
     pos_first,
     pos_marks,
@@ -52,8 +55,8 @@ from folioscope.llm.windows import (
 WIDTH, GRAM = 200, 72
 #: Letters from which a block is indexed, and the most that the contexts of an anchor have to be one group of a block.
 BLOCK_LETTERS, GROUP_LETTERS = 1 << 18, 1 << 17
-#: Letters that are packed into the first ranks of suffixes.
-PACKED = 5
+#: Letters that are packed into the first ranks of suffixes, and neighbouring windows of a frequent anchor that share a core.
+PACKED, STEP = 5, 16
 
 
 class RunLengthIndex:
@@ -232,20 +235,39 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     met = materialize(met, "suffix-entries")
     settled = removed_rows(met.filter("report"))
     left = met.filter("open").select(
-        "k", "doc", "tag", "hot", "want", pos_first(F.col("pos")).alias("first"), pos_count(F.col("pos")).alias("count")
+        "k", "doc", "tag", "hot", "want", pos_first(F.col("pos")).alias("first"), pos_count(F.col("pos")).alias("count"), pos_anchor(F.col("pos")).alias("behind")
     )
     cold = with_lists(rows, left.filter("NOT hot"), ["first", "count", "k", "want"])
     contexts = materialize(_contexts(cold, width), "suffix-contexts")
     marked = materialize(_marks(contexts, width, partitions), "suffix-marks")
     drop_materialized(contexts)
-    digests = materialize(window_digests(with_lists(rows, left.filter("hot"), ["first", "count"]), "byte", width, all_occurrences=True), "suffix-digests")
-    d_marks = pos_marks(F.col("pos"))
-    meeting = digests.filter((d_marks.bitwiseAND(F.lit(REMOVED)) == 0) | (d_marks.bitwiseAND(F.lit(REPEATED)) != 0))
+    return settled.unionByName(marked).unionByName(_frequent(rows, left.filter("hot"), width))
+
+
+def _frequent(rows: DataFrame, open_: DataFrame, width: int) -> DataFrame:
+    """doc, tag, first, count: repeated windows of entries (doc, tag, first, count, behind) of frequent anchors.
+
+    Of windows that start ``r`` units before the anchor, those with equal r // STEP
+    all hold the same ``width - STEP + 1`` units at the same place behind the
+    anchor, so a window repeats only if this core does.
+    """
+    step = min(STEP, width)
+    last, first = F.floor(F.col("behind") / step), F.floor((F.col("behind") - F.col("count") + 1) / step)
+    cores = open_.withColumn("g", F.explode(F.sequence(first, last))).select("doc", "tag", (F.col("first") + F.col("behind") - F.col("g") * step).alias("first"), F.lit(1).cast("long").alias("count"))
+    found = _repeated(rows, cores, width - step + 1, "suffix-cores")
+    begin = F.greatest(F.col("first") - (step - 1), F.lit(0).cast("long"))
+    return _repeated(rows, found.select("doc", "tag", begin.alias("first"), (F.col("first") - begin + 1).alias("count")), width, "suffix-digests")
+
+
+def _repeated(rows: DataFrame, items: DataFrame, width: int, name: str) -> DataFrame:
+    """doc, tag, first, count of the windows (one each) of the items that occur more than once among them."""
+    digests = materialize(window_digests(with_lists(rows, items, ["first", "count"]), "byte", width, all_occurrences=True), name)
+    marks = pos_marks(F.col("pos"))
+    meeting = digests.filter((marks.bitwiseAND(F.lit(REMOVED)) == 0) | (marks.bitwiseAND(F.lit(REPEATED)) != 0))
     many = meeting.groupBy(F.col("d1").alias("m1"), F.col("d2").alias("m2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hot = digests.filter(d_marks.bitwiseAND(F.lit(REMOVED)) != 0).select("doc", "tag", "pos")
-    hot = hot.unionByName(meeting.join(many, (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2"))).select("doc", "tag", "pos"))
-    hot = hot.select("doc", "tag", pos_first(F.col("pos")).alias("first"), F.lit(1).cast("long").alias("count"))
-    return settled.unionByName(marked).unionByName(hot)
+    found = digests.filter(marks.bitwiseAND(F.lit(REMOVED)) != 0).select("doc", "tag", "pos")
+    found = found.unionByName(meeting.join(many, (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2"))).select("doc", "tag", "pos"))
+    return found.select("doc", "tag", pos_first(F.col("pos")).alias("first"), F.lit(1).cast("long").alias("count"))
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -13,7 +13,8 @@ an anchor, which is what keeps shuffles small.
 Rows of the entry table: ``k`` where the entry meets its like (h, or a salted
 key for an anchor that is very frequent in one slice), ``f``, ``doc`` and
 ``tag`` (a row's id and 64-bit hash of its text, which tell texts that share a
-doc_id or have none) and ``pos``: first window, number of windows and marks.
+doc_id or have none) and ``pos``: first window, how far behind it the anchor
+stands, number of windows and marks.
 
 Texts of any length are read in pieces of PIECE windows, so memory is bounded by
 a slice of rows and a piece. An entry that a piece's end cuts has a fingerprint
@@ -52,7 +53,12 @@ def keyed(docs: DataFrame, *others: str) -> DataFrame:
 
 
 def pos_first(pos: Column) -> Column:
-    return F.shiftright(pos, 12)
+    return F.shiftright(pos, 21)
+
+
+def pos_anchor(pos: Column) -> Column:
+    """Units from the first window's start to the anchor."""
+    return F.shiftright(pos, 12).bitwiseAND(F.lit(0x1FF))
 
 
 def pos_count(pos: Column) -> Column:
@@ -85,7 +91,7 @@ class Units:
 
 
 def entries(units: Units, width: int, gram: int, piece: int = PIECE):
-    """Per piece (row, first window, windows, h, f) of every entry; first windows count from the start of the slice."""
+    """Per piece (row, first window, windows, anchor behind the first window, h, f) of every entry; first windows count from the start of the slice."""
     n = int(units.offsets[-1])
     for low in range(0, max(0, n - width + 1), piece):
         yield _piece_entries(units, width, gram, low, min(n, low + piece + width - 1))
@@ -110,7 +116,7 @@ def _piece_entries(units: Units, width: int, gram: int, low: int, high: int) ->
     anchor, row = anchor[fresh], row[fresh]
     shape = ((anchor - first) << 20 | count).astype(np.uint64)
     f = mix64(poly.ranges(first, first + count - 1 + width) ^ mix64(shape + np.uint64(0x51ED270B)))
-    return row, first + low, count, hashes[anchor], f
+    return row, first + low, count, anchor - first, hashes[anchor], f
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -143,10 +149,10 @@ def entry_table(rows: DataFrame, unit: str, width: int, gram: int, all_occurrenc
     third of all rows share down to a row per slice.
     """
 
-    def settled(units: Units, doc: np.ndarray, tag: np.ndarray, row, first, count, h, f) -> pa.RecordBatch:
+    def settled(units: Units, doc: np.ndarray, tag: np.ndarray, row, first, count, behind, h, f) -> pa.RecordBatch:
         own = first - units.offsets[:-1][row]
         order = np.lexsort((tag[row], own, doc[row], f))
-        row, first, own, count, h, f = (x[order] for x in (row, first, own, count, h, f))
+        row, first, own, count, behind, h, f = (x[order] for x in (row, first, own, count, behind, h, f))
         head = np.concatenate([[True], f[1:] != f[:-1]]) if len(f) else np.zeros(0, bool)
         group = np.cumsum(head) - 1
         leader = np.flatnonzero(head)
@@ -163,7 +169,7 @@ def entry_table(rows: DataFrame, unit: str, width: int, gram: int, all_occurrenc
             stays = earliest & np.concatenate([[True], (tag[row][1:] != tag[row][:-1]) | ~earliest[:-1] | head[1:]]) if len(f) else earliest
         g_row, g_first, g_count = _merged(row[gone], own[gone], count[gone])
         g_key = mix64(mix64(doc[g_row].astype(np.uint64) ^ tag[g_row].astype(np.uint64)) ^ g_first.astype(np.uint64))
-        row, own, count, h, f, marks = (x[stays] for x in (row, own, count, h, f, marks))
+        row, own, count, behind, h, f, marks = (x[stays] for x in (row, own, count, behind, h, f, marks))
         key = h.copy()
         if len(h):
             by_h = np.argsort(h, kind="stable")
@@ -179,7 +185,7 @@ def entry_table(rows: DataFrame, unit: str, width: int, gram: int, all_occurrenc
             np.concatenate([f.view(np.int64), g_count]),
             np.concatenate([doc[row], doc[g_row]]),
             np.concatenate([tag[row], tag[g_row]]),
-            np.concatenate([own << 12 | count << 3 | marks, g_first << 12 | REMOVED]),
+            np.concatenate([own << 21 | behind << 12 | count << 3 | marks, g_first << 21 | REMOVED]),
         )
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "f", "doc", "tag", "pos"])
 
@@ -241,7 +247,9 @@ def window_digests(rows: DataFrame, unit: str, width: int, all_occurrences: bool
     """128-bit digests of single windows, from rows (doc, tag, text, items: first, count).
 
     Windows are digested in a canonical form (words joined by a space, or the
-    bytes). Repeats among the windows digested at once are settled as in entry_table.
+    bytes); of a window that several items have, one is. Repeats among the windows
+    digested at once are settled as in entry_table. What goes beyond a text's end
+    is left out.
     """
     import xxhash
 
@@ -273,7 +281,7 @@ def window_digests(rows: DataFrame, unit: str, width: int, all_occurrences: bool
         if all_occurrences:
             only &= (marks & REPEATED) == 0
         spread = mix64(mix64(doc[row].astype(np.uint64) ^ tag[row].astype(np.uint64)) ^ own.astype(np.uint64)).view(np.int64)
-        columns = np.where(only, spread, d[:, 0]), np.where(only, own, d[:, 1]), doc[row], tag[row], own << 12 | 1 << 3 | marks
+        columns = np.where(only, spread, d[:, 0]), np.where(only, own, d[:, 1]), doc[row], tag[row], own << 21 | 1 << 3 | marks
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["d1", "d2", "doc", "tag", "pos"])
 
     def run(batches):
@@ -282,8 +290,15 @@ def window_digests(rows: DataFrame, unit: str, width: int, all_occurrences: bool
                 units = Units(part.column("text"), unit)
                 item_offsets, (first, count) = list_arrays(part.column("items"), 2)
                 item_row = np.repeat(np.arange(part.num_rows), np.diff(item_offsets))
-                order = np.lexsort((first, item_row))
-                item_row, first, count = item_row[order], first[order], count[order]
+                begin = units.offsets[:-1][item_row] + first
+                end = np.minimum(begin + count, units.offsets[1:][item_row] - width + 1)
+                order = np.argsort(begin, kind="stable")
+                order = order[end[order] > begin[order]]
+                begin, end = begin[order], np.maximum.accumulate(end[order])
+                fresh = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])) if len(begin) else begin
+                item_row, begin = item_row[order][fresh], begin[fresh]
+                count = end[np.append(fresh[1:], len(end)) - 1] - begin if len(fresh) else begin
+                first = begin - units.offsets[:-1][item_row]
                 cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(count) // DIGESTS)) + 1).tolist(), len(count)]
                 doc, tag = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
                 for low, high in zip(cuts[:-1], cuts[1:], strict=True):
