@@ -87,13 +87,13 @@ class Snapshots:
     """Versions of a set of tables below a folder; the newest complete one is current.
 
     ``publish`` writes all tables of a version into a folder of its own and a
-    marker last, which is one small file that is created whole. Nothing that a
+    marker last, which gets its name when it is whole. Nothing that a
     reader may hold is ever moved or deleted, so a reader finds the old version
     or the new one, never none and never a mix: it asks once and reads every
     table from the version that it got.
     """
 
-    MARK = "_COMPLETE"
+    MARK = "COMPLETE.json"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -120,9 +120,11 @@ class Snapshots:
         path = f"{self.folder}/v-{number:08d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{path}/{name}")
-        stream = self._fs.create(self._path(f"{path}/{self.MARK}"), False)
+        fresh = self._path(f"{path}/_mark")
+        stream = self._fs.create(fresh, False)
         stream.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}), "utf-8"))
         stream.close()
+        self._fs.rename(fresh, self._path(f"{path}/{self.MARK}"))
         return path
 
     def label(self, path: str) -> str:

@@ -52,6 +52,9 @@ def test_careers_come_from_cards_or_from_the_text(shelf):
 # ------------------------------------------------------------------ the index's life
 
 
+FILL = " and so on with a good many more words than a heading has" * 4
+
+
 def books(tmp_path, texts):
     folder = tmp_path / "books" / "Game"
     folder.mkdir(parents=True, exist_ok=True)
@@ -61,14 +64,14 @@ def books(tmp_path, texts):
 
 
 def test_a_second_build_takes_unchanged_texts_from_the_first(spark, tmp_path):
-    root, out = books(tmp_path, {"a.md": "# One\nfirst text", "b.md": "# Two\nsecond text"}), f"file://{tmp_path}/out"
+    root, out = books(tmp_path, {"a.md": f"# One\nfirst text{FILL}", "b.md": f"# Two\nsecond text{FILL}"}), f"file://{tmp_path}/out"
     first = library.build(spark, root, out, "1")
-    books(tmp_path, {"b.md": "# Two\nchanged text here", "c.md": "# Three\nthird"})
+    books(tmp_path, {"b.md": f"# Two\nchanged text here{FILL}", "c.md": f"# Three\nthird{FILL}"})
     (tmp_path / "books/Game/a.md").touch()
     second = library.build(spark, root, out, "2")
     texts = lambda paths: {r.path.rsplit("/", 1)[1]: r.text for r in spark.read.parquet(paths["files"]).collect()}
-    assert texts(first) == {"a.md": "# One\nfirst text", "b.md": "# Two\nsecond text"}  # readers of the old version keep it
-    assert texts(second) == {"a.md": "# One\nfirst text", "b.md": "# Two\nchanged text here", "c.md": "# Three\nthird"}
+    assert texts(first) == {"a.md": f"# One\nfirst text{FILL}", "b.md": f"# Two\nsecond text{FILL}"}  # readers of the old version keep it
+    assert texts(second) == {"a.md": f"# One\nfirst text{FILL}", "b.md": f"# Two\nchanged text here{FILL}", "c.md": f"# Three\nthird{FILL}"}
     forced = library.build(spark, root, out, "3", force=True)
     assert texts(forced) == texts(second)
     assert library.Library(spark, out).search("changed").count() == 1
