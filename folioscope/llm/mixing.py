@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import byte_rows, materialize, word_spans
+from folioscope.llm.common import byte_rows, fresh_names, materialize, word_spans
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -158,15 +158,15 @@ def mix_units(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as it is taken."""
     units = mix_units(docs, **options).filter("copies > 0")
-    units = units.select(*(F.col(c).alias(f"_mix_{c}") for c in ("doc_id", "tie", "source", "copies")))
-    keyed = docs.withColumn("_mix_hash", F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)))
+    doc_id, tie, source, copies, copy = fresh_names(docs, "_mix_doc_id", "_mix_tie", "_mix_source", "_mix_copies", "_mix_copy")
+    units = units.select(F.col("doc_id").alias(doc_id), F.col("tie").alias(tie), F.col("source").alias(source), F.col("copies").alias(copies))
     same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc_id"))
-        & (F.col("_mix_hash") == F.col("_mix_tie"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
+        docs["doc_id"].cast("long").eqNullSafe(F.col(doc_id))
+        & (F.coalesce(F.xxhash64(docs["text"].cast("string")), F.lit(0)) == F.col(tie))
+        & docs["source"].cast("string").eqNullSafe(F.col(source))
     )
-    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
-    return keyed.join(units, same).withColumn("_mix_copy", copies).select(*(keyed[c] for c in docs.columns))
+    times = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return docs.join(units, same).withColumn(copy, times).select(*docs.columns)
 
 
 def op9_mix_pivotal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ extracted. Archives always carry ZIP64 records, so their size has no limit.
 
 Archives are written by the executors to the shared folder through Arrow's file
 systems; each attempt of a task writes files of its own name, and only those
-that a finished task reports are read. Identical payloads are found by SHA-1
-and length: the smallest page_id keeps the payload as a response, others become
+that a finished task reports are read. Identical payloads are found by their
+SHA-1: the smallest page_id keeps the payload as a response, others become
 revisit records without one.
 
 Defined cases: a null html is an empty payload; a null url leaves the target

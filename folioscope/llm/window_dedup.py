@@ -59,6 +59,9 @@ def _bucket_joins(spark: SparkSession):
         spark.conf.set(name, old)
 
 
+_MANIFEST = "width int, gram int, fan_in int, buckets int, runs array<string>"
+
+
 class FingerprintIndex:
     """Runs of window fingerprints in the warehouse; ``add`` takes the next batch."""
 
@@ -67,6 +70,24 @@ class FingerprintIndex:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
         self.settled: list[DataFrame] = []
+        self._old: list[str] = []
+
+    def save(self, path: str) -> None:
+        """Write down which runs the index has, so that another session can go on with it."""
+        row = (self.width, self.gram, self.fan_in, self.buckets, self.runs)
+        self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        row = spark.read.schema(_MANIFEST).json(path).first()
+        index = cls(spark, row["width"], row["gram"], row["fan_in"])
+        index.buckets, index.runs = row["buckets"], list(row["runs"])
+        return index
+
+    def drop(self, runs: list[str] | None = None) -> None:
+        """Drop the tables of runs (all that the index has made, if not said otherwise)."""
+        for run in self._old + self.runs if runs is None else runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
 
     def _save(self, df: DataFrame) -> str:
         name = f"folioscope_run_{uuid.uuid4().hex}"
@@ -105,6 +126,7 @@ class FingerprintIndex:
             merged = self._live(self.runs[0])
             for run in self.runs[1:]:
                 merged = merged.unionByName(self._live(run))
+            self._old += self.runs  # their removed rows are read until they are dropped
             self.runs = [self._save(merged.repartition(self.buckets, "k"))]
 
     def unsettled(self) -> DataFrame:
@@ -149,6 +171,8 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batch
     gone = index.verify(rows)
     for part in index.settled:
         gone = gone.unionByName(part)
+    gone = materialize(gone, "window-gone")
+    index.drop()
     return gone
 
 

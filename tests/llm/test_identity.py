@@ -93,3 +93,28 @@ def test_covered_units_are_those_of_any_window():
             items.append(len(first))
         got = windows.covered(offsets, np.array(items), np.array(first, np.int64), np.array(count, np.int64), 10)
         assert (got == want).all()
+
+
+def test_an_index_goes_on_in_another_session_and_leaves_no_tables(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["w" + str(i) for i in range(60)]
+    shared = " ".join(rng.choices(words, k=15))
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(3, 25))) + (" " + shared if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("folioscope_run_")}
+    before = tables()
+    index = window_dedup.FingerprintIndex(spark, 6, 2)
+    for low in (0, 80):
+        index.add(windows.keyed(docs.filter(f"doc_id >= {low} AND doc_id < {low + 80}")))
+    index.save(f"{tmp_path}/index")
+    later = window_dedup.FingerprintIndex.load(spark, f"{tmp_path}/index")
+    later.add(windows.keyed(docs.filter("doc_id >= 160")))
+    gone = later.verify(windows.keyed(docs))
+    for part in [*index.settled, *later.settled]:
+        gone = gone.unionByName(part)
+    got = window_dedup.remove_windows(docs, gone, 6).collect()
+    assert sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows, 6)
+    index.drop()
+    later.drop()
+    window_dedup.removed_windows(docs, 6, 2)
+    assert tables() == before

@@ -494,6 +494,23 @@ def test_mix_meets_targets(docs, rows, chunk, monkeypatch):
     assert mixed.count() == sum(u.copies * u.n for u in units)
 
 
+def test_pivotal_rounding_keeps_sums_and_expectations():
+    """Of each chunk the words stay, one row at most is left fractional, and over many draws every row's mean is its probability."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    size, p = rng.integers(1, 40, 9).astype(float), rng.random(9)
+    total = np.zeros(9)
+    for k in range(4000):
+        rows = pd.DataFrame({"doc_id": range(9), "tie": 0, "size": size, "weight": size, "p": p, "chunk": 0, "level": 0})
+        out = mixing._round_group((k, 0, 0), rows)
+        mine = out["p"].to_numpy()
+        assert abs((mine * size).sum() - (p * size).sum()) < 1e-9
+        assert ((mine > 0) & (mine < 1)).sum() <= 1
+        total += mine
+    assert np.abs(total / 4000 - p).max() < 0.035  # four deviations of a mean of 4,000 draws
+
+
 # ------------------------------------------------------------------ op10
 
 

@@ -123,3 +123,19 @@ def test_empty_documents(spark, tables, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_with_clashing_names_pass_through(spark, tables):
+    path, docs = tables
+    from pyspark.sql import functions as F
+
+    names = ["_pipeline_quality", "_mix_hash", "_mix_doc_id", "_mix_tie", "_mix_copies", "_mix_copy", "_near_id", "_near_hash", "hash", "root", "tag", "doc", "pos", "k", "items", "row", "sig", "stays"]
+    odd = docs.select("*", *(F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, path)
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        assert rows, name
+        for r in rows:
+            assert all(r[n] == f"{n} {'none' if r.doc_id is None else r.doc_id}" for n in names), name
+    assert corpus_pipeline.pack(spark, odd, path).count() > 0
