@@ -204,7 +204,11 @@ def armour(spark, d):
 
 
 # ------------------------------------------------------------------ pages: one for each part
-_W1, _W2 = F.get(F.split("name", " "), F.lit(0)), F.get(F.split("name", " "), F.lit(1))
+def word(i):
+    """A word of the part's name."""
+    return F.get(F.split("name", " "), F.lit(i))
+
+
 PW = "(SELECT *, string_split(name, ' ')[1] AS w1, string_split(name, ' ')[2] AS w2 FROM " + P + ")"
 
 
@@ -228,7 +232,7 @@ def cells(spark, d, xs, ys, wide=50.0, high=12.0):
 
 def _ruled(spark, d):
     even = F.when(C("n") % 2 == 0, C("kind"))
-    words = placed(spark, d, (14, 102, "Name"), (64, 102, "Cost"), (14, 114, _W1), (64, 114, C("s")), (14, 128, even), (64, 128, F.when(C("n") % 2 == 0, F.lit("9"))), (300, 102, "outside"))
+    words = placed(spark, d, (14, 102, "Name"), (64, 102, "Cost"), (14, 114, word(0)), (64, 114, C("s")), (14, 128, even), (64, 128, F.when(C("n") % 2 == 0, F.lit("9"))), (300, 102, "outside"))
     return Z.grids(cells(spark, d, (10, 60), (100, 112)), words)
 
 
@@ -246,13 +250,13 @@ def titles(spark, d):
 
 @query("Z8_columns_drawn", f"SELECT 'a' AS doc, k AS page, 'Roll|Event/1|' || w1 || ' ' || w2 || '/2|' || kind AS grid FROM {PW}")
 def unruled(spark, d):
-    words = placed(spark, d, (10, 10, "Roll"), (80, 10, "Event"), (10, 22, "1"), (80, 22, _W1), (104, 22, _W2), (10, 34, "2"), (81, 34, C("kind")))
+    words = placed(spark, d, (10, 10, "Roll"), (80, 10, "Event"), (10, 22, "1"), (80, 22, word(0)), (104, 22, word(1)), (10, 34, "2"), (81, 34, C("kind")))
     return Z.unruled_grids(words).select("doc", "page", G.text_of(C("rows")).alias("grid"))
 
 
 @query("Z4_shaded_drawn", f"SELECT 'a' AS doc, k AS page, 'Roll|Event/1|' || w1 || ' ' || w2 || '/2|' || kind AS grid FROM {PW}")
 def shaded(spark, d):
-    words = placed(spark, d, (10, 10, "Roll"), (80, 10, "Event"), (10, 22, "1"), (80, 22, _W1), (104, 22, _W2), (10, 34, "2"), (81, 34, C("kind")))
+    words = placed(spark, d, (10, 10, "Roll"), (80, 10, "Event"), (10, 22, "1"), (80, 22, word(0)), (104, 22, word(1)), (10, 34, "2"), (81, 34, C("kind")))
     return Z.shaded_grids(cells(spark, d, (5,), (8, 32), 125.0, 11.0), words).select("doc", "page", G.text_of(C("rows")).alias("grid"))
 
 
@@ -264,7 +268,7 @@ def side_by_side(spark, d):
 
 @query("Z6_anchored_drawn", f"SELECT 'a' AS doc, k AS page, 'CAREER|BAKER|EMT/SKILLS|' || w1 || ' ' || w2 || '|' || kind || '/GEAR|Pan|' AS grid FROM {PW}")
 def anchored(spark, d):
-    words = placed(spark, d, (10, 10, "CAREER"), (90, 10, "BAKER"), (160, 10, "EMT"), (10, 22, "SKILLS"), (92, 22, _W1), (120, 22, _W2), (161, 22, C("kind")), (10, 34, "GEAR"), (90, 34, "Pan"))
+    words = placed(spark, d, (10, 10, "CAREER"), (90, 10, "BAKER"), (160, 10, "EMT"), (10, 22, "SKILLS"), (92, 22, word(0)), (120, 22, word(1)), (161, 22, C("kind")), (10, 34, "GEAR"), (90, 34, "Pan"))
     return Z.header_anchored_grids(words).select("doc", "page", G.text_of(C("rows")).alias("grid"))
 
 
@@ -283,5 +287,5 @@ def boxes(spark, d):
 
 @query("Z9_sections_drawn", f"SELECT 'a' AS doc, k AS page, 'Skills' AS label, '1 ' || w1 || ' 2 ' || w2 AS text FROM {PW} UNION ALL SELECT 'a', k, 'Mishaps', '1 ' || kind FROM {PW}")
 def spread(spark, d):
-    spans = placed(spark, d, (20, 50, "Skills and training", 70, 14.0, True), (20, 70, F.concat(F.lit("1 "), _W1), 70), (20, 82, F.concat(F.lit("2 "), _W2), 70), (320, 50, "MISHAPS", 70, 14.0, True), (320, 70, F.concat(F.lit("1 "), "kind"), 70), style=True)
+    spans = placed(spark, d, (20, 50, "Skills and training", 70, 14.0, True), (20, 70, F.concat(F.lit("1 "), word(0)), 70), (20, 82, F.concat(F.lit("2 "), word(1)), 70), (320, 50, "MISHAPS", 70, 14.0, True), (320, 70, F.concat(F.lit("1 "), "kind"), 70), style=True)
     return Z.spread_sections(spans).select("doc", "page", "label", "text")
