@@ -15,8 +15,9 @@ Groups of contexts are bounded, so blocks are. An anchor that is very frequent i
 one slice (HOT), or whose contexts come to more than GROUP_LETTERS in all slices
 together, would put its contexts into one block without bound; its windows are
 compared by 128-bit digests instead, which is exact and spreads over all tasks.
-Windows whose distance to the anchor is the same in steps of STEP have a core in
-common, and only those whose core repeats are digested.
+Windows whose distance to the anchor is the same in steps of STEPS have a core in
+common; cores are digested from the widest steps down, each only where the wider
+one repeats, and windows where all of their cores do.
 
 Defined cases: a null text is an empty one; bytes are those of UTF-8, matches
 never cross documents and what remains may cut a character; rows that share
@@ -55,8 +56,10 @@ from folioscope.llm.windows import (
 WIDTH, GRAM = 200, 72
 #: Letters from which a block is indexed, and the most that the contexts of an anchor have to be one group of a block.
 BLOCK_LETTERS, GROUP_LETTERS = 1 << 18, 1 << 17
-#: Letters that are packed into the first ranks of suffixes, and neighbouring windows of a frequent anchor that share a core.
-PACKED, STEP = 5, 16
+#: Letters that are packed into the first ranks of suffixes.
+PACKED = 5
+#: Neighbouring windows of a frequent anchor that share a core; each divides the one before.
+STEPS = (16, 4)
 
 
 class RunLengthIndex:
@@ -247,16 +250,21 @@ def removed_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
 def _frequent(rows: DataFrame, open_: DataFrame, width: int) -> DataFrame:
     """doc, tag, first, count: repeated windows of entries (doc, tag, first, count, behind) of frequent anchors.
 
-    Of windows that start ``r`` units before the anchor, those with equal r // STEP
-    all hold the same ``width - STEP + 1`` units at the same place behind the
+    Of windows that start ``r`` units before the anchor, those with equal r // step
+    all hold the same ``width - step + 1`` units at the same place behind the
     anchor, so a window repeats only if this core does.
     """
-    step = min(STEP, width)
+    step = STEPS[0]
+    if width <= step:
+        return _repeated(rows, open_, width, "suffix-digests")
     last, first = F.floor(F.col("behind") / step), F.floor((F.col("behind") - F.col("count") + 1) / step)
-    cores = open_.withColumn("g", F.explode(F.sequence(first, last))).select("doc", "tag", (F.col("first") + F.col("behind") - F.col("g") * step).alias("first"), F.lit(1).cast("long").alias("count"))
-    found = _repeated(rows, cores, width - step + 1, "suffix-cores")
-    begin = F.greatest(F.col("first") - (step - 1), F.lit(0).cast("long"))
-    return _repeated(rows, found.select("doc", "tag", begin.alias("first"), (F.col("first") - begin + 1).alias("count")), width, "suffix-digests")
+    one = F.lit(1).cast("long").alias("count")
+    cores = open_.withColumn("g", F.explode(F.sequence(first, last))).select("doc", "tag", (F.col("first") + F.col("behind") - F.col("g") * step).alias("first"), one)
+    for step, finer in zip(STEPS, (*STEPS[1:], 1), strict=True):
+        found = _repeated(rows, cores, width - step + 1, "suffix-cores")
+        back = F.explode(F.sequence(F.lit(0), F.lit(step - finer), F.lit(finer)))  # the finer cores, or windows, of a core
+        cores = found.withColumn("back", back).select("doc", "tag", (F.col("first") - F.col("back")).alias("first"), one).filter("first >= 0")
+    return _repeated(rows, cores, width, "suffix-digests")
 
 
 def _repeated(rows: DataFrame, items: DataFrame, width: int, name: str) -> DataFrame:
