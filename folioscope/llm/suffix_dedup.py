@@ -15,9 +15,10 @@ Groups of contexts are bounded, so blocks are. An anchor that is very frequent i
 one slice (HOT), or whose contexts come to more than GROUP_LETTERS in all slices
 together, would put its contexts into one block without bound; its windows are
 compared by 128-bit digests instead, which is exact and spreads over all tasks.
-Windows whose distance to the anchor is the same in steps of STEPS have a core in
-common; cores are digested from the widest steps down, each only where the wider
-one repeats, and windows where all of their cores do.
+Windows whose distance to the anchor is the same in steps of STEPS are a cell; they
+have a core in common and lie in one hull. Cells that repeat as a whole are settled
+by their hulls, those without a repeat by their cores, and only what is between,
+at the ends of a repeat, is cut into finer cells and at last into windows.
 
 Defined cases: a null text is an empty one; bytes are those of UTF-8, matches
 never cross documents and what remains may cut a character; rows that share
@@ -37,9 +38,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from folioscope.llm.common import NULL_ID, PolyHash, byte_rows, drop_materialized, materialize, mix64, slices
 from folioscope.llm.windows import (
+    DIGESTS,
     HOT,
     REMOVED,
     REPEATED,
+    _merged,
     covered,
     entry_table,
     keyed,
@@ -49,7 +52,6 @@ from folioscope.llm.windows import (
     pos_first,
     pos_marks,
     removed_rows,
-    window_digests,
     with_lists,
 )
 
@@ -58,7 +60,7 @@ WIDTH, GRAM = 200, 72
 BLOCK_LETTERS, GROUP_LETTERS = 1 << 18, 1 << 17
 #: Letters that are packed into the first ranks of suffixes.
 PACKED = 5
-#: Neighbouring windows of a frequent anchor that share a core; each divides the one before.
+#: Neighbouring windows of a frequent anchor that are a cell; each divides the one before.
 STEPS = (16, 4)
 
 
@@ -251,31 +253,100 @@ def _frequent(rows: DataFrame, open_: DataFrame, width: int) -> DataFrame:
     """doc, tag, first, count: repeated windows of entries (doc, tag, first, count, behind) of frequent anchors.
 
     Of windows that start ``r`` units before the anchor, those with equal r // step
-    all hold the same ``width - step + 1`` units at the same place behind the
-    anchor, so a window repeats only if this core does.
+    are a cell. Its windows all hold the same ``width - step + 1`` units, the core,
+    and together cover ``width + step - 1``, the hull, both at fixed places before
+    the anchor. Where the hull repeats all windows of the cell do, and one cell of
+    each such hull goes on for others to meet; where the core does not repeat none
+    of them does. Only cells between the two are cut into finer ones.
     """
-    step = STEPS[0]
-    if width <= step:
-        return _repeated(rows, open_, width, "suffix-digests")
+    steps = (*(step for step in STEPS if step < width), 1)
+    step = steps[0]
     last, first = F.floor(F.col("behind") / step), F.floor((F.col("behind") - F.col("count") + 1) / step)
-    one = F.lit(1).cast("long").alias("count")
-    cores = open_.withColumn("g", F.explode(F.sequence(first, last))).select("doc", "tag", (F.col("first") + F.col("behind") - F.col("g") * step).alias("first"), one)
-    for step, finer in zip(STEPS, (*STEPS[1:], 1), strict=True):
-        found = _repeated(rows, cores, width - step + 1, "suffix-cores")
-        back = F.explode(F.sequence(F.lit(0), F.lit(step - finer), F.lit(finer)))  # the finer cores, or windows, of a core
-        cores = found.withColumn("back", back).select("doc", "tag", (F.col("first") - F.col("back")).alias("first"), one).filter("first >= 0")
-    return _repeated(rows, cores, width, "suffix-digests")
-
-
-def _repeated(rows: DataFrame, items: DataFrame, width: int, name: str) -> DataFrame:
-    """doc, tag, first, count of the windows (one each) of the items that occur more than once among them."""
-    digests = materialize(window_digests(with_lists(rows, items, ["first", "count"]), "byte", width, all_occurrences=True), name)
-    marks = pos_marks(F.col("pos"))
-    meeting = digests.filter((marks.bitwiseAND(F.lit(REMOVED)) == 0) | (marks.bitwiseAND(F.lit(REPEATED)) != 0))
-    many = meeting.groupBy(F.col("d1").alias("m1"), F.col("d2").alias("m2")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = digests.filter(marks.bitwiseAND(F.lit(REMOVED)) != 0).select("doc", "tag", "pos")
-    found = found.unionByName(meeting.join(many, (F.col("d1") == F.col("m1")) & (F.col("d2") == F.col("m2"))).select("doc", "tag", "pos"))
-    return found.select("doc", "tag", pos_first(F.col("pos")).alias("first"), F.lit(1).cast("long").alias("count"))
+    cells = open_.withColumn("g", F.explode(F.sequence(first, last))).select("doc", "tag", (F.col("first") + F.col("behind") - F.col("g") * step - (step - 1)).alias("first"))
+    found = None
+    for step, finer in zip(steps, (*steps[1:], None), strict=True):
+        hull = Window.partitionBy("h1", "h2")
+        met = (
+            _cell_digests(with_lists(rows, cells, ["first"]), width, step)
+            .withColumn("rank", F.row_number().over(hull.orderBy("doc", "tag", "first")))
+            .withColumn("n", F.count(F.lit(1)).over(hull))
+            .withColumn("known", F.max((F.col("kind") == KNOWN).cast("int")).over(hull) > 0)
+            .withColumn("repeats", F.col("kind").isin(WHOLE, KNOWN) & ((F.col("n") > 1) | F.col("known")))
+        )
+        met = materialize(met.drop("h1", "h2", "n", "known"), "suffix-cells")
+        done = met.filter(F.col("repeats") | (F.col("kind") == SETTLED)).select("doc", "tag", "first", "count")
+        found = done if found is None else found.unionByName(done)
+        if finer is not None:
+            kept = met.filter((F.col("kind") != SETTLED) & (~F.col("repeats") | (F.col("rank") == 1)))
+            many = kept.groupBy(F.col("c1").alias("m1"), F.col("c2").alias("m2")).agg(F.count(F.lit(1)).alias("cores")).filter("cores > 1")
+            cut = kept.join(many, (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")))
+            parts = F.explode(F.sequence(F.lit(0), F.lit(step - finer), F.lit(finer)))
+            cells = cut.withColumn("part", parts).select("doc", "tag", (F.col("first") + F.col("part")).alias("first"))
+    return found
+
+
+#: Cells that are known to repeat and go no further; whose hull is the only one so far; whose hull repeats; whose hull the text's ends cut.
+SETTLED, WHOLE, KNOWN, CUT = range(4)
+_CELL = "h1 long, h2 long, c1 long, c2 long, doc long, tag long, first long, count long, kind int"
+
+
+def _cell_digests(rows: DataFrame, width: int, step: int) -> DataFrame:
+    """128-bit digests of hull and core of cells of ``step`` windows, from rows (doc, tag, text, items: first window).
+
+    Of the cells with equal hulls that are digested at once, one goes on as KNOWN;
+    the others are SETTLED and pass through, merged, under keys that spread them.
+    A cell none of whose windows fits into its text is left out.
+    """
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+
+    def digests(raw: bytes, begin: np.ndarray, length: int) -> np.ndarray:
+        return np.frombuffer(b"".join(digest(raw[b : b + length]) for b in begin.tolist()), "<i8").reshape(-1, 2)
+
+    def spread(doc: np.ndarray, tag: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return mix64(mix64(doc.astype(np.uint64) ^ tag.astype(np.uint64)) ^ first.astype(np.uint64)).view(np.int64)
+
+    def digested(raw: bytes, offsets: np.ndarray, doc: np.ndarray, tag: np.ndarray, row: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        begin = offsets[:-1][row] + first
+        cut = (first < 0) | (begin + (width + step - 1) > offsets[1:][row])
+        hull = np.column_stack([spread(doc[row], tag[row], first), first])
+        hull[~cut] = digests(raw, begin[~cut], width + step - 1)
+        order = np.lexsort((first, tag[row], doc[row], hull[:, 1], hull[:, 0], cut))
+        row, first, begin, cut, hull = row[order], first[order], begin[order], cut[order], hull[order]
+        head = np.concatenate([[True], (hull[1:] != hull[:-1]).any(1)]) | cut
+        group = np.cumsum(head) - 1
+        kind = np.where(cut, CUT, np.where(np.bincount(group)[group] > 1, KNOWN, WHOLE))
+        s_row, s_first, s_count = _merged(row[~head], first[~head], np.full(int((~head).sum()), step))
+        row, first, begin, hull, kind = row[head], first[head], begin[head], hull[head], kind[head]
+        core = digests(raw, begin + (step - 1), width - step + 1) if step > 1 else hull
+        none = np.zeros(len(s_row), np.int64)
+        columns = (
+            *(np.concatenate([x, y]) for x, y in ((hull[:, 0], spread(doc[s_row], tag[s_row], s_first)), (hull[:, 1], s_first), (core[:, 0], none), (core[:, 1], none))),
+            *(np.concatenate([x[row], x[s_row]]) for x in (doc, tag)),
+            np.concatenate([first, s_first]), np.concatenate([np.full(len(row), step), s_count]),
+        )
+        kinds = pa.array(np.concatenate([kind, np.full(len(s_row), SETTLED)]), pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), kinds], [x.split()[0] for x in _CELL.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                data, offsets = byte_rows(part.column("text"))
+                raw = data.tobytes()
+                item_offsets, (first,) = list_arrays(part.column("items"), 1)
+                row = np.repeat(np.arange(part.num_rows), np.diff(item_offsets))
+                fits = (first + (step - 1) >= 0) & (offsets[:-1][row] + first + width <= offsets[1:][row])
+                row, first = row[fits], first[fits]
+                order = np.lexsort((first, row))
+                row, first = row[order], first[order]
+                fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1])]) if len(row) else fits[:0]
+                row, first = row[fresh], first[fresh]  # several entries may have a cell
+                doc, tag = np.asarray(part.column("doc")), np.asarray(part.column("tag"))
+                for low in range(0, len(row), DIGESTS):
+                    yield digested(raw, offsets, doc, tag, row[low : low + DIGESTS], first[low : low + DIGESTS])
+
+    return rows.filter("items IS NOT NULL").select("doc", "tag", "text", "items").mapInArrow(run, _CELL)
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -58,6 +58,21 @@ def test_many_contexts_on_one_cool_anchor_stay_bounded(spark, monkeypatch):
     check_bytes(spark, rows, 60, 20)
 
 
+def test_windows_of_a_frequent_anchor_are_settled_in_runs(spark):
+    """Many copies of a text with an edit each: only what lies at the edits is looked at window by window."""
+    rng = random.Random(12)
+    base = [rng.choice("abcdefghijklmnop ") for _ in range(1200)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        text[rng.randrange(300, 900)] = rng.choice("QRSTUVWXYZ")
+        rows.append((i, "".join(text)[rng.randrange(40) : 1200 - rng.randrange(40)]))
+    rows += [(500, rows[3][1]), (500, rows[3][1]), (501, rows[3][1][:210]), (502, rows[3][1][-203:])]
+    check_bytes(spark, rows, 200, 72)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix_dedup.removed_windows(docs).count() < 40 * len(rows)
+
+
 def test_pieces_of_long_texts_give_the_same_windows(spark, monkeypatch):
     rng = random.Random(4)
     long_ = " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randint(0, 30)) for _ in range(3000))
