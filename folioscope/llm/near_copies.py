@@ -1,31 +1,34 @@
-"""Near copies by SimHash and exact similarity: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
-
-Equal sets are one node. Sets that similar share at least one shingle among the
-first n // 5 + 1 of each under any order that all sets agree on (prefix
-filter), so no link can be missed. The order puts shingles of rarely used
-buckets first, by counts in a sketch of fixed size, so common lines come last.
-Sets that meet under a shingle are held against the Hamming distance of their
+"""Near copies by SimHash, pigeonring chains and exact similarity: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
+
+Equal sets are one node. A set is laid on a ring of segments by the upper bits
+of its shingles' hashes. Two sets that similar differ in T shingles at most, T
+being a ninth of both sizes together, so on a ring of T + 1 segments there is
+one from which on every chain of l segments differs in at most l - 1 shingles
+(the pigeonring principle); the bound is exact, so no link can be missed. The
+chain of one segment must agree: start and content are the key under which
+candidates meet. The next seven go along as parities of eight bits each, whose
+differing bits never outnumber the differing shingles, and every pair that meets
+is held against the budgets of these chains before anything else is compared.
+The number of segments is that of the size class of the smaller set: a set is on
+the ring of its own class, and as a guest on that of the class below, where two
+guests do not count as a pair.
+
+Pairs that keep the budgets are held against the Hamming distance of their
 128-bit SimHash fingerprints (simhash.py); sets whose similarity is 0.8 differ in
 19 bits on average, with a deviation of 4, unrelated ones in 64, and DISTANCE is
-five deviations above the former. Fingerprints of fewer than SMALL shingles say
+five deviations above the former. At so wide a distance no segment of the
+fingerprints need agree, which is why the ring is laid through the shingles and
+not through the fingerprints. Fingerprints of fewer than SMALL shingles say
 too little and are not asked. Beside them go the parities of a set's shingles in
-512 buckets, whose differing bits never outnumber the differing shingles. What
-is left is compared set against set.
-
-At so wide a distance the chains of the pigeonring filter are too wide to be
-keys (every segment may differ), which is why shingles are the keys here; chains
-also add nothing once both fingerprints are at hand, as the full distance
-implies them.
+512 buckets. What is left is compared set against set.
 
 Three rounds keep large groups of copies linear. The first links the members of
-a key in chains, by turned fingerprints, with another turn for each key. The
-second ties each member that is not of its key's greatest component, if that is
-large, to the nearest fingerprints outside its own. The third takes all pairs that are still
-in different components. A key with more than GROUP members is split in blocks:
-chains run inside blocks, the other rounds take every pair of blocks. Similar sets
-meet under many keys; in the third round a pair counts only under the least of
-the first HEADS shingles that both have, or, if these have none in common, under
-every key.
+a key in chains, by turned fingerprints, with another turn for each key, under
+some FIRST keys of a ring. The second ties each member that is not of its key's
+greatest component, if that is large, to the nearest fingerprints outside its
+own. The third takes all pairs that are still in different components. A key
+with more than GROUP members is split in blocks: chains run inside blocks, the
+other rounds take every pair of blocks.
 
 Defined cases: letters A-Z are taken in lower case; fewer than five words make
 one shingle, and texts without words (null, empty, white space) are copies of
@@ -46,12 +49,14 @@ from folioscope.llm.simhash import components, majority, rotate
 WORDS = 5
 #: Bits in which fingerprints of similar sets may differ, and shingles from which fingerprints count.
 DISTANCE, SMALL = 40, 16
-#: Buckets of the sketch and of one of its chunks, prefix shingles of the first round, members that are compared at once, members of one group.
-BUCKETS, CHUNK, FIRST, BLOCK, GROUP = 1 << 20, 1 << 14, 16, 512, 1 << 16
+#: Keys of a ring in the first round, on average; members that are compared at once, members of one group.
+FIRST, BLOCK, GROUP = 8, 512, 1 << 16
 #: Nearest fingerprints that the second round tries for a member, and members that a key's greatest component must have for it.
 NEAREST, TIED = 4, 8
-#: First shingles of a prefix by which a pair finds the key that it counts under.
-HEADS = 8
+#: Segments of a chain after the one that is the key, one byte of a word each; the bit above them marks guests.
+NEXT = 7
+_CHAINS = [np.uint64((1 << 8 * length) - 1) for length in range(1, NEXT + 1)]
+_GUEST = np.uint64(1 << 8 * NEXT)
 #: Bytes of a shingle's hash that are compared; two shingles of two sets of 1,000 agree in them by chance once in 10 ** 8 pairs of sets.
 PACKED = 6
 #: Pairs in one batch.
@@ -66,6 +71,18 @@ def least_overlap(total):
     return -(-4 * total // 9)
 
 
+def _size_classes() -> np.ndarray:
+    lows = [1]
+    while lows[-1] < 1 << 32:
+        lows.append(max(lows[-1] + 1, lows[-1] * 5 // 4))
+    return np.array(lows)
+
+
+#: Least sizes of the classes, and the segments of their rings: one more than a set of the class and one as large or larger may differ in.
+LOWS = _size_classes()
+SEGMENTS = (LOWS[1:] - 1) // 4 + 1
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shingle) of every distinct shingle of a row, in order, and the rows' offsets among them."""
     data, offsets = byte_rows(column)
@@ -101,60 +118,65 @@ def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.column_stack([majority(values, at), majority(mix64(values ^ _SALT), at), parity]).view(np.int64)
 
 
-_SIGNED = f"doc_id long, hash long, sig long, n long, {', '.join(f'{c} long' for c in SIGNATURE)}, chunk int, counts binary"
+_SIGNED = f"doc_id long, hash long, sig long, n long, {', '.join(f'{c} long' for c in SIGNATURE)}"
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """doc_id, hash, sig, n and the signature: a row's id, hash of its text, hash, size and SIGNATURE of its set; further rows have a task's counts by chunk of buckets."""
-    names = [x.split()[0] for x in _SIGNED.split(", ")]  # a count of a bucket in a task fits into 31 bits
+    """doc_id, hash, sig, n and the signature: a row's id, hash of its text, hash, size and SIGNATURE of its set."""
+    names = [x.split()[0] for x in _SIGNED.split(", ")]
 
     def run(batches):
-        total = np.zeros(BUCKETS, np.int32)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 _, values, at = shingle_sets(part.column("text"))
-                np.add.at(total, (values % np.uint64(BUCKETS)).astype(np.int64), np.int32(1))
                 n = np.diff(at)
                 sig = mix64(np.add.reduceat(mix64(values + np.uint64(1)), at[:-1]) + n.astype(np.uint64))
                 found = [pa.array(x, pa.int64()) for x in (sig.view(np.int64), n, *signatures(values, at).T)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), *found, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-        chunks = total.reshape(-1, CHUNK)
-        used = np.flatnonzero(chunks.any(1))
-        blank = [pa.nulls(len(used), pa.int64())] * (4 + len(SIGNATURE))
-        yield pa.RecordBatch.from_arrays([*blank, pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), *found], names)
 
     return rows.mapInArrow(run, _SIGNED)
 
 
-def _sketch(signed: DataFrame) -> np.ndarray:
-    """How many shingles fall in each bucket, by rank."""
-
-    def join(key, table):
-        both = np.zeros(CHUNK, np.int64)
-        for blob in table.column("counts").to_pylist():
-            both += np.frombuffer(blob, np.int32)
-        return pa.Table.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([both.tobytes()], pa.binary())})
-
-    out = np.zeros(BUCKETS, np.int64)
-    for row in signed.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(join, "chunk int, counts binary").collect():  # BUCKETS counts at most
-        out[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
-    return out
-
-
-def _prefixes(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """key, sig and place of the prefix of every set."""
+def rings(values: np.ndarray, at: np.ndarray):
+    """By ring that sets (ordered shingles, offsets ``at``) are on: (set, key, chain, first) of each segment."""
+    n = np.diff(at)
+    own = np.searchsorted(LOWS, n, side="right") - 1
+    for below in range(len(LOWS)):
+        kind = np.maximum(own - below, 0)
+        sets = np.flatnonzero((own >= below) & (5 * (LOWS[kind + 1] - 1) >= 4 * n))
+        if not len(sets):
+            return
+        kind, size, m = kind[sets], n[sets], SEGMENTS[kind[sets]]
+        begin = np.cumsum(m) - m
+        mine = values[np.repeat(at[sets] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        place = np.repeat(begin, size) + ((mine >> np.uint64(32)).astype(np.int64) * np.repeat(m, size) >> 32)
+        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        content, parity = np.zeros(m.sum(), np.uint64), np.zeros(m.sum(), np.uint64)
+        content[place[starts]] = np.add.reduceat(mix64(mine + np.uint64(1)), starts)
+        parity[place[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (mine & np.uint64(7)), starts)
+        whole, begin = np.repeat(m, m), np.repeat(begin, m)
+        segment = np.arange(len(whole)) - begin
+        key = mix64(content + mix64((np.repeat(kind, m) << 32 | segment).astype(np.uint64) + np.uint64(1)))
+        chain = np.full(len(whole), _GUEST if below else 0, np.uint64)
+        for step in range(1, NEXT + 1):
+            after = parity[begin + (segment + step) % whole] << np.uint64(8 * (step - 1))
+            chain |= np.where(step < whole, after, np.uint64(0))
+        yield np.repeat(sets, m), key, chain, (key >> np.uint64(32)).astype(np.int64) * whole < FIRST << 32
+
+
+def _on_rings(sets: DataFrame) -> DataFrame:
+    """key, sig, chain of every segment of a set's rings, and whether the first round takes it."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                row, values, at = shingle_sets(part.column("text"))
-                order = np.lexsort((values, sketch[(values % np.uint64(BUCKETS)).astype(np.int64)], row))
-                place = np.arange(len(row)) - at[:-1][row]
-                keep = place < (np.diff(at) // 5 + 1)[row]
-                sig = np.asarray(part.column("sig"))[row[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(values[order][keep].view(np.int64)), pa.array(sig), pa.array(place[keep].astype(np.int32))], ["key", "sig", "place"])
+                _, values, at = shingle_sets(part.column("text"))
+                sig = np.asarray(part.column("sig"))
+                for row, key, chain, first in rings(values, at):
+                    columns = [key.view(np.int64), sig[row], chain.view(np.int64), first]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "sig", "chain", "first"])
 
-    return sets.select("sig", "text").mapInArrow(run, "key long, sig long, place int")
+    return sets.select("sig", "text").mapInArrow(run, "key long, sig long, chain long, first boolean")
 
 
 def _apart(words: np.ndarray, a, b, which: range) -> np.ndarray:
@@ -162,25 +184,36 @@ def _apart(words: np.ndarray, a, b, which: range) -> np.ndarray:
     return sum(np.bitwise_count(words[i][a] ^ words[i][b]).astype(np.int16) for i in which)
 
 
-def plausible(n: np.ndarray, words: np.ndarray, a, b) -> np.ndarray:
-    """Which pairs of members (index arrays that broadcast) sizes, fingerprints and parities allow; words: the signatures by word."""
+def viable(differing: np.ndarray) -> np.ndarray:
+    """Which differing bits of chains keep the budget of every length."""
+    return np.logical_and.reduce([np.bitwise_count(differing & low) <= length for length, low in enumerate(_CHAINS, 1)])
+
+
+def plausible(n: np.ndarray, chains: np.ndarray, words: np.ndarray, a, b, asked=True) -> np.ndarray:
+    """Which of the asked pairs of members (index arrays that broadcast) chains, sizes, fingerprints and parities allow; words: the signatures by word."""
+    differing = chains[a] ^ chains[b]
+    good = asked & (np.bitwise_count(differing & _CHAINS[0]) <= 1) & (chains[a] & chains[b] < _GUEST)  # the shortest chain settles most
+    at = np.nonzero(good)
+    a, b = (np.broadcast_to(x, good.shape)[at] for x in (a, b))
     low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-    good = (5 * low >= 4 * high) & ((_apart(words, a, b, range(2)) <= DISTANCE) | (low < SMALL))
-    if good.any():
-        total = low + high
-        good &= _apart(words, a, b, range(2, len(SIGNATURE))) <= total - 2 * least_overlap(total)
+    keep = np.flatnonzero(viable(differing[at]) & (5 * low >= 4 * high))
+    a, b, low, total = a[keep], b[keep], low[keep], (low + high)[keep]
+    left = (_apart(words, a, b, range(2)) <= DISTANCE) | (low < SMALL)
+    left &= _apart(words, a, b, range(2, len(SIGNATURE))) <= total - 2 * least_overlap(total)
+    good[at] = False
+    good[tuple(x[keep[left]] for x in at)] = True
     return good
 
 
-def chain(key: int, own: np.ndarray, n: np.ndarray, words: np.ndarray, label: np.ndarray, heads: list[np.ndarray]):
+def chain(key: int, own: np.ndarray, n: np.ndarray, label: np.ndarray, chains: np.ndarray, words: np.ndarray):
     """Pairs of neighbours by fingerprints, turned in the key's own way."""
     order = np.argsort(rotate(words[key // 8 % 2], key % 8), kind="stable")
     a, b = order[:-1], order[1:]
-    good = plausible(n, words, a, b)
+    good = plausible(n, chains, words, a, b)
     yield a[good], b[good]
 
 
-def reach(key: int, own: np.ndarray, n: np.ndarray, words: np.ndarray, label: np.ndarray, heads: list[np.ndarray]):
+def reach(key: int, own: np.ndarray, n: np.ndarray, label: np.ndarray, chains: np.ndarray, words: np.ndarray):
     """For members outside the most frequent label, the nearest fingerprints of other labels."""
     names, which, count = np.unique(label, return_inverse=True, return_counts=True)
     if len(names) == 1 or count.max() < TIED:
@@ -192,8 +225,9 @@ def reach(key: int, own: np.ndarray, n: np.ndarray, words: np.ndarray, label: np
         best = np.full((len(a), NEAREST), 999, np.int64)
         for other in range(0, len(n), BLOCK):
             b = np.arange(other, min(other + BLOCK, len(n)))
-            good = plausible(n, words, a[:, None], b[None, :]) & (label[a][:, None] != label[b][None, :])
-            apart = np.where(good, _apart(words, a[:, None], b[None, :], range(2)).astype(np.int64), 999)
+            i, j = np.nonzero(plausible(n, chains, words, a[:, None], b[None, :], label[a][:, None] != label[b][None, :]))
+            apart = np.full((len(a), len(b)), 999, np.int64)
+            apart[i, j] = _apart(words, a[i], b[j], range(2))
             both, who = np.concatenate([best, apart], 1), np.concatenate([near, np.broadcast_to(b, apart.shape)], 1)
             pick = np.argpartition(both, NEAREST - 1, axis=1)[:, :NEAREST]
             best, near = np.take_along_axis(both, pick, 1), np.take_along_axis(who, pick, 1)
@@ -201,18 +235,8 @@ def reach(key: int, own: np.ndarray, n: np.ndarray, words: np.ndarray, label: np
         yield a[i], near[i, j]
 
 
-def counts_here(key: int, heads: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether a key is the least of the first shingles that pairs have in common, or they have none."""
-    none = np.iinfo(np.int64).max
-    least = np.full(len(a), none)
-    for one in heads:
-        for two in heads:
-            least = np.minimum(least, np.where(one[a] == two[b], one[a], none))
-    return (least == key) | (least == none)
-
-
-def across(key: int, own: np.ndarray, n: np.ndarray, words: np.ndarray, label: np.ndarray, heads: list[np.ndarray]):
-    """All pairs of different labels that sizes and fingerprints allow; of two blocks, those with one of each."""
+def across(key: int, own: np.ndarray, n: np.ndarray, label: np.ndarray, chains: np.ndarray, words: np.ndarray):
+    """All plausible pairs of different labels; of two blocks, those with one of each."""
     if (label == label[0]).all():
         return
     two = (own != own[0]).any()
@@ -223,17 +247,15 @@ def across(key: int, own: np.ndarray, n: np.ndarray, words: np.ndarray, label: n
         top = np.searchsorted(4 * size, 5 * size[min(low + BLOCK, len(n)) - 1], side="right")
         for other in range(low, top, BLOCK):
             b = order[other : other + BLOCK]
-            good = (label[a][:, None] != label[b][None, :]) & plausible(n, words, a[:, None], b[None, :])
+            asked = label[a][:, None] != label[b][None, :]
             if two:
-                good &= own[a][:, None] != own[b][None, :]
-            i, j = np.nonzero(np.triu(good, 1) if low == other else good)
-            here = counts_here(key, heads, a[i], b[j])
-            if here.any():
-                yield a[i[here]], b[j[here]]
+                asked &= own[a][:, None] != own[b][None, :]
+            i, j = np.nonzero(plausible(n, chains, words, a[:, None], b[None, :], np.triu(asked, 1) if low == other else asked))
+            if len(i):
+                yield a[i], b[j]
 
 
-_HEADS = [f"h{i}" for i in range(HEADS)]
-_MET = ["key", "low", "high", "own", "sig", "n", "label", *SIGNATURE, *_HEADS]
+_MET = ["key", "low", "high", "own", "sig", "n", "label", "chain", *SIGNATURE]
 
 
 def _candidates(shared: DataFrame, roots: DataFrame | None, partitions: int, pairs, cross: bool) -> DataFrame:
@@ -265,8 +287,8 @@ def _candidates(shared: DataFrame, roots: DataFrame | None, partitions: int, pai
             for i in np.flatnonzero(np.diff(cuts) > 1):
                 at = slice(cuts[i], cuts[i + 1])
                 own, sig, n, label, *more = (x[at] for x in held[3:])
-                words, heads = [w.view(np.uint64) for w in more[: len(SIGNATURE)]], more[len(SIGNATURE) :]
-                for a, b in pairs(int(held[0][cuts[i]]), own, n, words, label, heads):
+                chains, *words = (x.view(np.uint64) for x in more)
+                for a, b in pairs(int(held[0][cuts[i]]), own, n, label, chains, words):
                     out.append((sig[a], sig[b]))
                     made += len(a)
                     if made >= PAIRS:
@@ -336,23 +358,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text"))
     signed = materialize(_signed(rows), "near-signed")
-    sketch = _sketch(signed)
-    signed = signed.filter("chunk IS NULL").drop("chunk", "counts")
     of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "n", *SIGNATURE)).alias("of")
     nodes = materialize(signed.groupBy("sig").agg(of).select("sig", "of.doc_id", "of.hash", "of.n", *(f"of.{c}" for c in SIGNATURE)), "near-nodes")
     key = [F.coalesce("doc_id", F.lit(NULL_ID)).alias("its_id"), F.col("hash").alias("its_hash")]
     # one row of each text, so copies without an id or with the same id don't meet themselves
     sets = materialize(rows.select(*key, "text").join(nodes.select(*key, "sig"), ["its_id", "its_hash"]).select("sig", "text").dropDuplicates(["sig"]), "near-sets")
     members = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = _prefixes(sets, sketch).repartition(partitions, "key").withColumn("members", members).filter("members > 1")
+    shared = _on_rings(sets).repartition(partitions, "key").withColumn("members", members).filter("members > 1")
     held = materialize(shared, "near-shared")
-    first = held.filter(F.col("place") < HEADS).groupBy("sig").agg(F.sort_array(F.collect_list("key")).alias("heads"))
-    # a set without so many shared shingles fills up with values of its own
-    heads = [F.coalesce(F.get("heads", F.lit(i)), F.xxhash64("sig", F.lit(i))).alias(h) for i, h in enumerate(_HEADS)]
-    shared = held.join(nodes.select("sig", "n", *SIGNATURE), "sig").join(first, "sig", "left").select("key", "sig", "place", "members", "n", *SIGNATURE, *heads)
+    shared = held.join(nodes.select("sig", "n", *SIGNATURE), "sig").select("key", "sig", "chain", "first", "members", "n", *SIGNATURE)
     tried, links, roots = None, None, None
     for pairs, cross in ((chain, False), (reach, True), (across, True)):
-        met = _candidates(shared.filter(F.col("place") < FIRST) if pairs is chain else shared, roots, partitions, pairs, cross)
+        met = _candidates(shared.filter("first") if pairs is chain else shared, roots, partitions, pairs, cross)
         if tried is not None:
             met = met.join(tried, ["u", "v"], "left_anti")
         met = materialize(met, "near-pairs")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -105,3 +106,51 @@ def test_a_repeated_id_does_not_take_another_text_along(spark):
     one, two = prose(rng, 60), prose(rng, 60)
     docs = spark.createDataFrame([(3, one), (7, one + " x"), (7, two)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted([(3, one), (7, two)])
+
+
+def common_starts(one, two):
+    """Differing bits of the chains from the segments that two sets have in common on a ring where one is no guest."""
+    found = {}
+    values, at = np.concatenate([np.sort(one), np.sort(two)]), np.array([0, len(one), len(one) + len(two)])
+    for sets, keys, chains, _ in near_copies.rings(values, at):
+        for s, k, c in zip(sets.tolist(), keys.tolist(), chains.tolist()):
+            found.setdefault(k, {})[s] = c
+    guest = int(near_copies._GUEST)
+    return [x[0] ^ x[1] for x in found.values() if len(x) == 2 and x[0] & x[1] < guest]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_sets_share_a_segment_whose_chains_keep_every_budget(seed):
+    """Sets of all sizes that differ in as many shingles as similarity 0.8 allows, dealt to both in any way."""
+    rng = np.random.default_rng(seed)
+    for small in [*range(1, 80), 99, 100, 101, 243, 400, 1000]:
+        for large in {small, small * 9 // 8, small * 5 // 4}:
+            shared = int(near_copies.least_overlap(small + large))
+            assert shared <= small
+            pool = rng.integers(0, 1 << 64, small + large - shared, np.uint64)
+            starts = common_starts(pool[:small], np.concatenate([pool[:shared], pool[small:]]))
+            assert near_copies.viable(np.array(starts, np.uint64)).any(), (small, large)
+
+
+def test_unrelated_sets_that_share_a_segment_fail_the_chains():
+    rng = np.random.default_rng(7)
+    starts = [x for _ in range(1500) for x in common_starts(*rng.integers(0, 1 << 64, (2, 200), np.uint64))]
+    assert len(starts) > 20  # segments that are empty in both
+    assert near_copies.viable(np.array(starts, np.uint64)).mean() < 0.01
+
+
+def test_a_pair_beyond_the_budget_of_a_chain_is_not_compared():
+    n, words = np.array([200, 200, 200]), [np.zeros(3, np.uint64)] * len(near_copies.SIGNATURE)
+    chains = np.array([0, 0b1, 0b110], np.uint64)  # two segments may differ in one shingle, so not in two
+    good = near_copies.plausible(n, chains, words, np.arange(3)[:, None], np.arange(3)[None, :], np.triu(np.ones((3, 3), bool), 1))
+    assert np.argwhere(good).tolist() == [[0, 1]]
+
+
+def test_texts_that_go_on_longer_are_linked_across_classes_of_size(spark):
+    rng, rows = random.Random(11), []
+    for size in [1, 4, 5, 8, 9, 12, 15, 16, 20, 25, 40, 60, 61, 75, 76, 150]:
+        text = prose(rng, size + 4).split()
+        more = size // 4
+        rows += [(len(rows) + j, " ".join(text + [f"more{size}x{i}" for i in range(extra)])) for j, extra in enumerate((0, more, more + 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.component_id) for r in near_copies.near_copies(docs).collect()), key=str) == brute_labels(rows)
