@@ -85,20 +85,34 @@ def select_columns(rows: Column, groups: list[list[int]]) -> Column:
 
 def unroll_repeats(rows: Column) -> Column:
     """A header of equal column groups side by side becomes one group, the rows stacked."""
-    header = F.transform(F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>")), _cell)
-    n = F.size(header)
-
-    def repeats(k: Column) -> Column:
-        first = F.slice(header, F.lit(1), k)
-        same = F.forall(indices((n / k).cast("int")), lambda i: F.slice(header, i * k + 1, k) == first)
-        return (n % k == 0) & (n / k >= 2) & F.exists(first, lambda c: c != "") & same
-
-    k = F.get(F.filter(F.transform(indices((n / 2).cast("int")), lambda i: i + 1), repeats), F.lit(0))
-    data = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-    padded = F.transform(data, lambda r: F.transform(indices(n), lambda j: F.coalesce(F.get(r, j), F.lit(""))))
-    parts = F.flatten(F.transform(padded, lambda r: F.transform(indices((n / k).cast("int")), lambda i: F.slice(r, i * k + 1, k))))
-    stacked = F.concat(F.array(F.slice(header, F.lit(1), k)), F.filter(parts, lambda s: F.exists(s, lambda c: T.trim_all(c) != "")))
-    return F.when((F.size(rows) >= 2) & k.isNotNull(), stacked).otherwise(rows)
+    # what a lambda is applied to is evaluated once, an expression in it once for each element
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def group(header: Column) -> Column:
+        n = F.size(header)
+
+        def repeats(k: Column) -> Column:
+            first = F.slice(header, F.lit(1), k)
+            same = F.forall(indices((n / k).cast("int")), lambda i: F.slice(header, i * k + 1, k) == first)
+            return (n % k == 0) & (n / k >= 2) & F.exists(first, lambda c: c != "") & same
+
+        return F.get(F.filter(F.transform(indices((n / 2).cast("int")), lambda i: i + 1), repeats), F.lit(0))
+
+    def stack(g: Column) -> Column:
+        header, k, data = g["header"], g["k"], g["data"]
+        n = F.size(header)
+        at = indices(n)
+        padded = F.transform(data, lambda r: F.transform(at, lambda j: F.coalesce(F.get(r, j), F.lit(""))))
+        parts = F.flatten(F.transform(padded, lambda r: F.transform(indices((n / k).cast("int")), lambda i: F.slice(r, i * k + 1, k))))
+        return F.concat(F.array(F.slice(header, F.lit(1), k)), F.filter(parts, lambda s: F.exists(s, lambda c: T.trim_all(c) != "")))
+
+    def unrolled(rows: Column) -> Column:
+        header = F.transform(F.coalesce(F.get(rows, F.lit(0)), F.array().cast("array<string>")), _cell)
+        data = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+        found = once(header, lambda h: F.struct(h.alias("header"), group(h).alias("k"), data.alias("data")))
+        return once(found, lambda g: F.when((F.size(rows) >= 2) & g["k"].isNotNull(), stack(g)).otherwise(rows))
+
+    return once(rows, unrolled)
 
 
 def merge_headerless(header: Column, row: Column) -> Column:
