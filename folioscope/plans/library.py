@@ -328,9 +328,9 @@ def rolls_as_columns(spark, d):
     drafts = table(spark, d, "customer").select(F.col("c_custkey").alias("draft_id"))
     book, nations = domain_book(spark), F.array(*map(F.lit, C.NATIONS))
     place = F.array_position(nations, F.col("nation"))
-    seeded = C.characters(drafts, book, seed="s").select("draft_id", place.cast("int").alias("seeded"))
+    seeded = C.characters(drafts, book, seed="s", fields=["draft_id", "nation"]).select("draft_id", place.cast("int").alias("seeded"))
     rolls = F.create_map(F.lit("nationality"), (F.col("draft_id") % 5 + 1).cast("int"))
-    given = C.characters(drafts.withColumn("rolls", rolls), book).select("draft_id", place.alias("given"))
+    given = C.characters(drafts.withColumn("rolls", rolls), book, fields=["draft_id", "nation"]).select("draft_id", place.alias("given"))
     return seeded.join(given, "draft_id")
 
 

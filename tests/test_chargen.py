@@ -86,3 +86,13 @@ def test_archetypes(book):
         assert sum(s.startswith("archetype_attr_") for s in value) - 1 == (4 if dropped else 3)
         assert ("D" in sheet["attributes"].values()) == dropped
         assert sheet["template"] in ("The Grunt", "The Medic") and len(sheet["specialties"]) == 1
+
+
+def test_drafts_are_dealt_to_all_cores(spark, book):
+    drafts = spark.range(0, 400, 1, 1).withColumnRenamed("id", "draft_id")
+    whole = C.characters(drafts, book, seed="s")
+    assert whole.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    want = {i: C.life_path(book, i, lambda n, step, sides: C.seeded(n, step, sides, "s")) for i in range(400)}
+    assert {r.draft_id: r.asDict() for r in whole.collect()} == want
+    some = C.characters(drafts, book, seed="s", fields=["nation", "draft_id"])
+    assert some.columns == ["nation", "draft_id"] and {r.draft_id: r.nation for r in some.collect()} == {i: s["nation"] for i, s in want.items()}
