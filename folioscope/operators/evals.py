@@ -73,10 +73,14 @@ def snapshot_diff(before: DataFrame, after: DataFrame, group: str) -> DataFrame:
 def heading_recall(toc: DataFrame, headings: DataFrame, before: int = 3) -> DataFrame:
     """doc, titles, found of contents titles (doc, title, page) that a heading (doc, title, page) on their page or shortly before covers.
 
-    Pages become keys of an equi-join: a heading counts for its page and the few after it.
+    Pages are cut into stretches that become keys of an equi-join: a heading counts in its stretch and the next one, where
+    the pages are compared. Sizes are known only after the headings are made, so the join is not left to a broadcast.
     """
-    heads = headings.select("doc", F.explode(F.sequence("page", F.col("page") + before)).alias("page"), T.long_tokens(F.col("title"), 2).alias("have"))
-    want = toc.select("doc", "title", "page", T.long_tokens(F.col("title"), 2).alias("want"))
-    covers = F.coalesce(F.size(F.array_intersect("want", "have")) / F.greatest(F.size("want"), F.lit(1)), F.lit(0.0))
-    best = want.join(heads, ["doc", "page"], "left").groupBy("doc", "title", "page").agg(F.max(covers).alias("cover"))
+    stretch = lambda c: F.floor(F.col(c) / (before + 1))
+    heads = headings.select("doc", F.col("page").alias("at"), stretch("page").alias("s"), T.long_tokens(F.col("title"), 2).alias("have"))
+    heads = heads.select("doc", "at", F.explode(F.array("s", F.col("s") + 1)).alias("s"), "have")
+    want = toc.select("doc", "title", "page", stretch("page").alias("s"), T.long_tokens(F.col("title"), 2).alias("want"))
+    near = F.col("at").between(F.col("page") - before, F.col("page"))
+    covers = F.when(near, F.coalesce(F.size(F.array_intersect("want", "have")) / F.greatest(F.size("want"), F.lit(1)), F.lit(0.0))).otherwise(0.0)
+    best = want.join(heads.hint("merge"), ["doc", "s"], "left").groupBy("doc", "title", "page").agg(F.max(covers).alias("cover"))
     return best.groupBy("doc").agg(F.count(F.lit(1)).alias("titles"), F.count_if(F.col("cover") >= 0.6).alias("found"))

@@ -4,6 +4,7 @@ import duckdb
 
 from folioscope import catalog
 from folioscope.cluster import ship
+from folioscope.operators import evals as E
 
 PART = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
 
@@ -25,3 +26,14 @@ def test_best_part_weighs_large_keys_against_cents(spark, tmp_path):
     spark.createDataFrame(rows, PART).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     got, want = compared(spark, tmp_path, "O6_argmax", "part")
     assert got == want and "(5, 'B1')" in got
+
+
+def test_headings_cover_titles_of_the_pages_after_them_without_a_broadcast(spark):
+    titles = [(1, f"alpha beta {p}", p) for p in range(-9, 40)]
+    heads = [(1, "Alpha Beta", p) for p in (-7, 2, 3, 11, 30)] + [(1, "Alpha", 20), (2, "Alpha Beta", 24)]
+    toc, headings = (spark.createDataFrame(x, "doc int, title string, page int") for x in (titles, heads))
+    got = E.heading_recall(toc, headings)
+    covered = sum(any(p - 3 <= at <= p for d, t, at in heads if d == 1 and t == "Alpha Beta") for _, _, p in titles)
+    assert got.collect() == [(1, len(titles), covered)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
