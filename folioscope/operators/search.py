@@ -3,6 +3,8 @@
 Statistics always cover all chunks; scopes filter candidates alone. A query
 term is joined with its postings (equi-join on the term), so a query touches
 the postings of its terms and nothing else; repeated query terms count again.
+Postings of asked terms are dealt by chunk and asked terms sent to them, so a
+chunk's scores are added up where its postings are.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 
 K1, B, HEADING_BOOST, CUTOFF = 1.5, 0.75, 1.0, 0.40
+#: Most query terms, with their queries, that go to the postings; more of them are shuffled to meet.
+FEW_TERMS = 200_000
 
 
 def index(chunks: DataFrame, terms: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -32,7 +36,8 @@ def index(chunks: DataFrame, terms: DataFrame | None = None) -> dict[str, DataFr
         tokens = tokens.groupBy("chunk_id", "raw").agg(F.count(F.lit(1)).alias("times"), F.max("dl").alias("dl"), F.first("heading").alias("heading")).withColumn("term", T.stem(F.col("raw")))
     else:
         forms = terms.select("term").distinct().select("term", F.explode(T.spellings(F.col("term"))).alias("raw")).filter(T.stem(F.col("raw")) == F.col("term"))
-        tokens = tokens.join(forms, "raw").withColumn("times", F.lit(1))
+        # by chunk alone, so that postings and the scores made of them need no further shuffle
+        tokens = tokens.join(forms, "raw").withColumn("times", F.lit(1)).drop("raw").repartition("chunk_id")
     postings = tokens.groupBy("term", "chunk_id").agg(F.sum("times").alias("tf"), F.max("dl").alias("dl"), F.max(F.array_contains("heading", F.col("term"))).alias("in_heading"))
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     length = F.regexp_count("whole", F.lit(T.TOKEN))
@@ -48,24 +53,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(idx: dict[str, DataFrame], queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score of every chunk with a query term; scope: the chunk_ids that may answer."""
     corpus = F.broadcast(idx["corpus"])  # one row
-    hits = query_terms(queries).join(idx["postings"], "term").join(idx["term_stats"], "term", "left").crossJoin(corpus)
+    terms = query_terms(queries)
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    asked = terms.join(idx["term_stats"], "term", "left").crossJoin(corpus)
+    df = F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))
+    asked = asked.select("query_id", "term", "times", F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)).alias("idf"), F.when(F.col("avg_len") == 0, 1.0).otherwise(F.col("avg_len")).alias("mean"))
+    hits = idx["postings"].join(F.broadcast(asked) if few else asked, "term")
     if scope is not None:
         hits = hits.join(scope.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    df = F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))
-    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    length = F.greatest(F.col("dl"), F.lit(1)) / F.when(F.col("avg_len") == 0, 1.0).otherwise(F.col("avg_len"))
+    idf = F.col("idf")
+    length = F.greatest(F.col("dl"), F.lit(1)) / F.col("mean")
     body = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     part = F.col("times") * (body + F.when(F.col("in_heading"), HEADING_BOOST * idf).otherwise(0.0))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).filter("score > 0")
 
 
 def top_hits(scores: DataFrame, k: int, min_rel: float | None = None) -> DataFrame:
-    """query_id, rank, chunk_id, score: hits of at least min_rel of the query's best, then the k best."""
+    """query_id, rank, chunk_id, score: hits of at least min_rel of the query's best, then the k best.
+
+    Hits that reach a share of the best come first in order, so the k best are
+    taken first, by every task from its own, and held against the best after.
+    """
     rel = CUTOFF if min_rel is None else min_rel
     best = Window.partitionBy("query_id")
     order = best.orderBy(F.desc("score"), "chunk_id")
-    kept = scores.withColumn("score", F.round("score", 6)).withColumn("top", F.max("score").over(best)).filter(F.col("score") >= F.col("top") * rel)
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    first = scores.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    kept = first.withColumn("top", F.max("score").over(best)).filter(F.col("score") >= F.col("top") * rel)
+    return kept.select("query_id", "rank", "chunk_id", "score")
 
 
 def in_scope(chunks: DataFrame, game: str | None = None, book: str | None = None, categories: list[str] | None = None) -> DataFrame:

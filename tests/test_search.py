@@ -63,3 +63,26 @@ def test_empty_chunks(spark):
 def test_word_budget_resets_when_full(spark):
     row = spark.range(1).select(G.greedy_segments(F.array(*map(F.lit, [60, 60, 10, 200, 1, 1])))).first()[0]
     assert row == [0, 0, 1, 1, 2, 2]
+
+
+def test_scores_are_added_up_where_postings_are(spark):
+    """Pairs of query and chunk are far more than postings: none is shuffled before each task has its k best."""
+    chunks = spark.createDataFrame([(i, "G", "Core", "rules", "", f"skill test {i % 3} roll") for i in range(60)], DDL)
+    queries = spark.createDataFrame([(q, "skill test roll") for q in range(40)], "query_id int, query string")
+    hits = S.top_hits(S.bm25(S.index(chunks, S.query_terms(queries)), queries), 2)
+    got = {(r.query_id, r.rank): r.chunk_id for r in hits.collect()}
+    assert got == {(q, i + 1): i for q in range(40) for i in range(2)}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id#" in plan
+    assert not any("hashpartitioning(query_id" in line and "chunk_id" in line for line in plan.splitlines())
+    every = {(r.query_id, r.rank): r.chunk_id for r in S.top_hits(S.bm25(S.index(chunks), queries), 2).collect()}
+    assert every == got
+
+
+def test_many_query_terms_are_shuffled_to_meet(spark, monkeypatch):
+    chunks = spark.createDataFrame(CHUNKS, DDL)
+    queries = spark.createDataFrame([(1, "skill test"), (2, "carbine rounds")], "query_id int, query string")
+    ranks = lambda: sorted(map(tuple, S.top_hits(S.bm25(S.index(chunks, S.query_terms(queries)), queries), 3).collect()))
+    few = ranks()
+    monkeypatch.setattr(S, "FEW_TERMS", 1)
+    assert ranks() == few and few
