@@ -17,6 +17,15 @@ from folioscope.functions import text as T
 K1, B, HEADING_BOOST, CUTOFF = 1.5, 0.75, 1.0, 0.40
 #: Most query terms, with their queries, that go to the postings; more of them are shuffled to meet.
 FEW_TERMS = 200_000
+#: Bytes of chunks, as the planner reckons them, for a partition of postings, and most partitions (a table of unknown size would have far more).
+PART_BYTES, MOST_PARTS = 8 << 20, 20_000
+
+
+def _parts(chunks: DataFrame) -> list[int]:
+    """The number of partitions where files of known size need more than the session's, so that a task's share stays bounded."""
+    size = int(str(chunks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = -(-size // PART_BYTES)
+    return [parts] if int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) < parts <= MOST_PARTS else []
 
 
 def index(chunks: DataFrame, terms: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -37,7 +46,7 @@ def index(chunks: DataFrame, terms: DataFrame | None = None) -> dict[str, DataFr
     else:
         forms = terms.select("term").distinct().select("term", F.explode(T.spellings(F.col("term"))).alias("raw")).filter(T.stem(F.col("raw")) == F.col("term"))
         # by chunk alone, so that postings and the scores made of them need no further shuffle
-        tokens = tokens.join(forms, "raw").withColumn("times", F.lit(1)).drop("raw").repartition("chunk_id")
+        tokens = tokens.join(forms, "raw").withColumn("times", F.lit(1)).drop("raw").repartition(*_parts(chunks), "chunk_id")
     postings = tokens.groupBy("term", "chunk_id").agg(F.sum("times").alias("tf"), F.max("dl").alias("dl"), F.max(F.array_contains("heading", F.col("term"))).alias("in_heading"))
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     length = F.regexp_count("whole", F.lit(T.TOKEN))

@@ -86,3 +86,14 @@ def test_many_query_terms_are_shuffled_to_meet(spark, monkeypatch):
     few = ranks()
     monkeypatch.setattr(S, "FEW_TERMS", 1)
     assert ranks() == few and few
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(CHUNKS, DDL).write.parquet(f"{tmp_path}/c.parquet")
+    chunks = spark.read.parquet(f"{tmp_path}/c.parquet")
+    assert S._parts(chunks) == []
+    monkeypatch.setattr(S, "PART_BYTES", 100)
+    assert S._parts(chunks)[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unknown = chunks.mapInArrow(lambda batches: batches, DDL)
+    monkeypatch.setattr(S, "MOST_PARTS", 1)
+    assert S._parts(unknown) == []
